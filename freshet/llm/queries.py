@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.ngram_join import ngram_jaccard_classes
+from freshet.llm.token_count import token_counts
+from freshet.llm.token_output import token_output
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -20,6 +22,20 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(_read(spark, sf_dir, "documents"), _vocabulary(), end_id=2)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), _vocabulary(), limit=2048)
+
+
 GRAMS_SQL = f"""
 w AS (SELECT doc_id, text, {WORDS_SQL} AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE
@@ -43,6 +59,8 @@ FROM w JOIN classes ON classes.x = w.doc_id LEFT JOIN counts ON counts.x = w.doc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op6_token_output": op6_token_output,
+        "op9_token_counts": op9_token_counts,
     }
 
 
