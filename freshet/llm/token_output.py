@@ -103,7 +103,7 @@ def _writer(folder: str, path: str, end_id: int):
                 if out is None:
                     fs, root = open_fs(folder)
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}")
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 ids, bound = tool.ids(pc.fill_null(batch.column(1), ""))
                 size = np.diff(bound) + 1
                 full = np.full(len(ids) + len(batch), end_id, np.uint32)
