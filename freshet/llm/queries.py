@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from freshet.llm.language_id import identify_languages
 from freshet.llm.ngram_join import ngram_jaccard_classes
+from freshet.llm.quality import classify_quality
 from freshet.llm.token_count import token_counts
 from freshet.llm.token_output import token_output
 
@@ -22,6 +24,14 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_read(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def _vocabulary() -> str:
     import public_tokenizers
 
@@ -59,7 +69,9 @@ FROM w JOIN classes ON classes.x = w.doc_id LEFT JOIN counts ON counts.x = w.doc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_language_id": op4_language_id,
         "op6_token_output": op6_token_output,
+        "op7_quality_classifier": op7_quality_classifier,
         "op9_token_counts": op9_token_counts,
     }
 
