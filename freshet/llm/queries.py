@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.language_id import identify_languages
+from freshet.llm.licenses import scan_licenses
 from freshet.llm.ngram_join import ngram_jaccard_classes
 from freshet.llm.quality import classify_quality
 from freshet.llm.token_count import token_counts
@@ -42,6 +43,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_read(spark, sf_dir, "documents"), _vocabulary(), end_id=2)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents")).drop("detections")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), _vocabulary(), limit=2048)
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op6_token_output": op6_token_output,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_license_scan": op8_license_scan,
         "op9_token_counts": op9_token_counts,
     }
 
