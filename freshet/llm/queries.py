@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from freshet.llm.language_id import identify_languages
 from freshet.llm.licenses import scan_licenses
+from freshet.llm.media import media_columns
 from freshet.llm.ngram_join import ngram_jaccard_classes
 from freshet.llm.quality import classify_quality
 from freshet.llm.token_count import token_counts
@@ -21,6 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_read(spark, sf_dir, "documents")).drop("shard", "offset", "length")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(_read(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ FROM w JOIN classes ON classes.x = w.doc_id LEFT JOIN counts ON counts.x = w.doc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media_columns": op1_media_columns,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_language_id": op4_language_id,
         "op6_token_output": op6_token_output,
