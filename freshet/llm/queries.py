@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from freshet.llm.decontaminate import find_overlaps
 from freshet.llm.language_id import identify_languages
 from freshet.llm.licenses import scan_licenses
 from freshet.llm.media import media_columns
+from freshet.llm.mixing import mix
 from freshet.llm.ngram_join import ngram_jaccard_classes
 from freshet.llm.quality import classify_quality
 from freshet.llm.token_count import token_counts
@@ -26,6 +28,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_read(spark, sf_dir, "documents")).drop("shard", "offset", "length")
 
 
+def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +62,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), _vocabulary(), limit=2048)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = """
+WITH size AS (SELECT source, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY 1),
+rated AS (SELECT source, CASE WHEN (sum(bytes) OVER ()) = 0 THEN 1.0 WHEN bytes = 0 THEN 0.0
+                 ELSE 1.0 * (sqrt(bytes::DOUBLE) / sum(sqrt(bytes::DOUBLE)) OVER ()) * (sum(bytes) OVER ())::DOUBLE / bytes END AS rate FROM size),
+terms AS (SELECT source, k, -rate + CASE WHEN k = 0 OR rate = 0 THEN 0 ELSE k * ln(rate) - lgamma(k + 1) END AS log_term, rate
+          FROM rated, LATERAL (SELECT unnest(range(0, ceil(rate + 12 * sqrt(rate) + 31)::BIGINT)) AS k)),
+cdf AS (SELECT source, k, sum(exp(log_term)) OVER (PARTITION BY source ORDER BY k) AS c FROM terms WHERE rate > 0 OR k = 0),
+drawn AS (SELECT d.*, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM documents d),
+counted AS (SELECT doc_id, text, lang, source, n_chars, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM drawn.source AND c <= u)::BIGINT AS copies FROM drawn),
+many AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted)
+SELECT *, row_number() OVER (ORDER BY md5('mix-1 order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR), doc_id, copy) - 1 AS position FROM many"""
+
 GRAMS_SQL = f"""
 w AS (SELECT doc_id, text, {WORDS_SQL} AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, unnest(CASE
@@ -79,16 +101,19 @@ FROM w JOIN classes ON classes.x = w.doc_id LEFT JOIN counts ON counts.x = w.doc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": op1_media_columns,
+        "op2_poisson_mix": op2_poisson_mix,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_language_id": op4_language_id,
         "op6_token_output": op6_token_output,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_license_scan": op8_license_scan,
         "op9_token_counts": op9_token_counts,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_poisson_mix": OP2_SQL,
         "op3_ngram_jaccard_join": OP3_SQL,
     }
