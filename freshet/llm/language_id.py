@@ -195,6 +195,27 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+def _keeper(model: LanguageModel | None, column: str, accepted: set[str] | None, min_score: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predictor(model)
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index(column))
+            mine = pa.RecordBatch.from_arrays([pa.array(np.arange(len(batch))), text], ["id", "text"])
+            for out in predict(iter([mine])):
+                good = [n != "und" and (accepted is None or n in accepted) and s >= min_score for n, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)]
+                yield batch.take(pc.filter(out.column(0), pa.array(good, pa.bool_())))
+
+    return keep
+
+
+def keep_languages(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", accepted: set[str] | None = None, min_score: float = 0.4) -> DataFrame:
+    """`docs`, all columns, without the rows whose language cannot be told (und, or a score below `min_score`) or is not accepted. No shuffle.
+
+    Without a model nothing can be told, and no row stays.
+    """
+    return docs.mapInArrow(_keeper(model, text_col, accepted, min_score), docs.schema)
+
+
 def held_out(key: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts == part

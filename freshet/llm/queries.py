@@ -15,6 +15,7 @@ from freshet.llm.ngram_join import ngram_jaccard_classes
 from freshet.llm.quality import classify_quality
 from freshet.llm.token_count import token_counts
 from freshet.llm.token_output import token_output
+from freshet.llm.url_filter import judge_urls
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_SQL = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -40,6 +41,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_read(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_poisson_mix": op2_poisson_mix,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_language_id": op4_language_id,
+        "op5_url_filter": op5_url_filter,
         "op6_token_output": op6_token_output,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_license_scan": op8_license_scan,
