@@ -1,9 +1,11 @@
 """Media payloads in tar shards, addressed by content (operator 1).
 
-A payload is stored once, however many rows have it: each task keeps one of a digest, one
-shuffle by digest then brings the rest together, and each task of that shuffle writes a tar
-shard. Rows carry digest, shard, offset and length. Metadata comes from a range read of the
-media header alone; a full read gives the payload back, as a check and for features.
+A payload has one address, however many rows have it. Each task writes a tar shard with one
+entry for each digest of its rows; of the entries that several tasks made for one digest the
+index names one, and compaction may drop the others. Payloads are never shuffled, only
+digests and places are. Rows carry digest, shard, offset and length. Metadata comes from a
+range read of the media header alone; a full read gives the payload back, as a check and
+for features.
 
 The form is an 8-bit greyscale PNG, 192 samples wide: lossless, and any image reader opens it.
 """
@@ -11,7 +13,6 @@ The form is an 8-bit greyscale PNG, 192 samples wide: lossless, and any image re
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.runtime import new_folder, open_fs, partitions, table
+from freshet.llm.runtime import new_folder, open_fs, table
 
 WIDTH = 192
 HEADER_BYTES = 33  # signature and IHDR
@@ -83,47 +84,36 @@ def feature(samples: bytes) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()  # digests of this task's rows
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            digests, media, sizes = [], [], []
-            for text in whole.column(0).slice(lo, 500).to_pylist():
-                payload = pad((text or "").encode())
-                digest = hashlib.sha256(payload).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    digests.append(digest.hex())
-                    media.append(encode_png(payload))
-                    sizes.append(len(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary()), pa.array(sizes, pa.int64())], ["digest", "media", "payload_bytes"])
-
-
 def _sharder(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tar"  # a repeated task writes another; rows name the right one
-        out, at, last = None, 0, None
-        for batch in batches:
-            rows = {"digest": [], "offset": [], "length": []}
-            for digest, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if digest == last:  # rows come in order of digest
-                    continue
-                last = digest
-                if out is None:
-                    fs, root = open_fs(folder)
-                    fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                info = tarfile.TarInfo(f"{digest[:2]}/{digest}.png")
-                info.size = len(media)
-                head = info.tobuf(tarfile.USTAR_FORMAT)
-                out.write(head + media + bytes(-len(media) % _BLOCK))
-                rows["digest"].append(digest)
-                rows["offset"].append(at + len(head))
-                rows["length"].append(len(media))
-                at += len(head) + len(media) + -len(media) % _BLOCK
-            yield pa.RecordBatch.from_arrays([pa.array(rows["digest"], pa.string()), pa.array([name] * len(rows["digest"]), pa.string()), pa.array(rows["offset"], pa.int64()), pa.array(rows["length"], pa.int64())], ["digest", "shard", "offset", "length"])
+        seen: set[bytes] = set()  # digests of this task's rows
+        out, at = None, 0
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                digests, offsets, lengths = [], [], []
+                for text in whole.column(0).slice(lo, 500).to_pylist():
+                    payload = pad((text or "").encode())
+                    digest = hashlib.sha256(payload).digest()
+                    if digest in seen:
+                        continue
+                    seen.add(digest)
+                    media = encode_png(payload)
+                    if out is None:
+                        fs, root = open_fs(folder)
+                        fs.create_dir(root, recursive=True)
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                    info = tarfile.TarInfo(f"{digest.hex()[:2]}/{digest.hex()}.png")
+                    info.size = len(media)
+                    head, fill = info.tobuf(tarfile.USTAR_FORMAT), bytes(-len(media) % _BLOCK)
+                    out.write(head + media + fill)
+                    digests.append(digest.hex())
+                    offsets.append(at + len(head))
+                    lengths.append(len(media))
+                    at += len(head) + len(media) + len(fill)
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array([name] * len(digests), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["digest", "shard", "offset", "length"])
         if out is not None:
             out.write(bytes(2 * _BLOCK))
             out.close()
@@ -133,10 +123,9 @@ def _sharder(folder: str):
 
 def write_media(texts: DataFrame, folder: str) -> DataFrame:
     """Writes the shards of a one-column table of texts; (digest, shard, offset, length), a row per distinct payload."""
-    spark = texts.sparkSession
-    encoded = texts.mapInArrow(_encoder, "digest string, media binary, payload_bytes long").select("digest", "media")
-    dealt = encoded.repartition(partitions(spark), "digest").sortWithinPartitions("digest")
-    return table(dealt.mapInArrow(_sharder(folder), "digest string, shard string, offset long, length long"), "media-index")
+    written = table(texts.mapInArrow(_sharder(folder), "digest string, shard string, offset long, length long"), "media-entries")
+    index = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    return index.sortWithinPartitions("shard", "offset")  # so that a task reads each shard from front to back
 
 
 def _open(cache: dict, fs, root: str, shard: str):
