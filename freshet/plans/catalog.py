@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from freshet.plans import reconciling, relational, streams, texts  # noqa: F401  (they register themselves)
+from freshet.plans.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def trending_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    score = F.sum(F.when(F.col("event_type") == "purchase", 5).otherwise(1)).cast("bigint")
-    return (
-        events.groupBy(F.col("user_id").alias("topic"))
-        .agg(score.alias("score"), F.max("ts").alias("latest_mention"), F.count_distinct(F.col("event_id") % 100).alias("thread_count"))
-        .orderBy(F.desc("score"), F.desc("latest_mention"))
-        .limit(20)
-    )
-
-
-TRENDING_SQL = """
-SELECT user_id AS topic, SUM(CASE WHEN event_type = 'purchase' THEN 5 ELSE 1 END)::BIGINT AS score,
-       MAX(ts) AS latest_mention, COUNT(DISTINCT event_id % 100)::BIGINT AS thread_count
-FROM events GROUP BY user_id ORDER BY score DESC, latest_mention DESC LIMIT 20"""
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"trending_topics": trending_topics}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"trending_topics": TRENDING_SQL}
+    return dict(ORACLES)
