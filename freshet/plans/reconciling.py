@@ -70,7 +70,7 @@ def reconcile_managed_by(spark, t):
 
 
 @query("""
-WITH dec AS (SELECT l_orderkey AS k, max_by(l_suppkey, l_linenumber * 1000000000 + l_suppkey) AS owner FROM lineitem GROUP BY 1), led AS (SELECT o_orderkey AS k, o_orderkey % 10 + 1 AS old_owner FROM orders WHERE o_orderkey % 3 <> 0)
+WITH dec AS (SELECT l_orderkey AS k, max_by(l_suppkey, l_linenumber::BIGINT * 1000000000 + l_suppkey) AS owner FROM lineitem GROUP BY 1), led AS (SELECT o_orderkey AS k, o_orderkey % 10 + 1 AS old_owner FROM orders WHERE o_orderkey % 3 <> 0)
 SELECT k, old_owner, owner, old_owner IS NOT NULL AND old_owner <> owner AS transferred FROM dec LEFT JOIN led USING (k)""")
 def ownership_transfer(spark, t):
     led = t.orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 10 + 1).alias("owner"))
