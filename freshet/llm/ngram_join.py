@@ -34,7 +34,7 @@ def plan_bands(threshold: float, recall: float, most: int = 256) -> tuple[int, i
     """(bands, rows): the most rows a band, hence the fewest false candidates, within `most` hash functions and the recall of a pair just at the threshold."""
     best = None
     for rows in range(1, 33):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))) if threshold < 1 else 1
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
         if bands * rows <= most:
             best = (bands, rows)
     if best is None:
