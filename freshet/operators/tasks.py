@@ -128,3 +128,9 @@ def memo_key(value: object) -> str:
         raise NotMemoKeyable(type(v).__qualname__)
 
     return hashlib.sha256(show(value).encode()).hexdigest()
+
+
+def map_stream(df: DataFrame, column: str, fn: Callable[[list], list], kind: str = "string", **options) -> Iterator[tuple]:
+    """(value, result, error) one after the other, as partitions end; only one partition of results is held."""
+    for r in map_rows(df.select(column), column, fn, "__result", kind, **options).toLocalIterator(prefetchPartitions=True):
+        yield r[column], r["__result"], r["error"]
