@@ -26,6 +26,7 @@ MASKS = ("1110100111", "1101011011", "11001110101", "1011110011")
 BLOCK_WORDS = 400_000
 WINDOW, STEP = 4_096, 3_968  # words of a window of a long item, and from one to the next
 _FILTER_BITS = 24
+PART_BYTES = 8 << 20  # of text, hashed at once
 _MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(max(map(len, MASKS)))], np.uint64)
 _PENALTY = 2.0
 
@@ -101,8 +102,7 @@ class TestBlock:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            batch = whole.slice(lo, 500)
+        for batch in textkit.by_bytes(whole, PART_BYTES):
             words, bound = textkit.word_hashes(batch.column(1))
             items, starts, parts = [], [], []
             for i, item in enumerate(batch.column(0).to_pylist()):
@@ -132,8 +132,7 @@ def _finder(block, min_words: int, identity: float, kind: pa.DataType):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests: TestBlock = block.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
+            for batch in textkit.by_bytes(whole, PART_BYTES):
                 words, bound = textkit.word_hashes(batch.column(1))
                 found = tests.overlaps(words, bound, min_words, identity)
                 rows = np.array(found, np.int64).reshape(-1, 6)
@@ -170,9 +169,9 @@ def _keeper(block, column: str, min_words: int, identity: float):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests: TestBlock = block.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                words, bound = textkit.word_hashes(batch.column(batch.schema.get_field_index(column)))
+            at = whole.schema.get_field_index(column)
+            for batch in textkit.by_bytes(whole, PART_BYTES, at):
+                words, bound = textkit.word_hashes(batch.column(at))
                 clean = np.ones(len(batch), bool)
                 clean[[o[0] for o in tests.overlaps(words, bound, min_words, identity)]] = False
                 yield batch.filter(pa.array(clean))

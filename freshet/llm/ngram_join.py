@@ -28,6 +28,7 @@ from freshet.llm.runtime import partitions, table
 BLOCK_CLASSES = 768
 BLOCK_SHINGLES = 400_000
 _COLUMNS = 4096
+PART_BYTES = 8 << 20  # of text, hashed at once
 
 
 def plan_bands(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -63,8 +64,7 @@ def _signer(n: int, bands: int, rows: int):
         flip, times = _hashers(bands * rows)
         weights = np.array([pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) for i in range(rows)], np.uint64)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
+            for batch in textkit.by_bytes(whole, PART_BYTES):
                 texts = batch.column(1)
                 grams, bound = _sets(texts, n)
                 have = np.diff(bound)
@@ -154,7 +154,7 @@ def _verifier(n: int, threshold: float):
             some = np.flatnonzero(links)
             return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), pa.array(links[some], pa.int64()), pa.array([root[i] for i in some], pa.binary()), pa.array(np.full(len(some), group[3]), pa.bool_())], ["k", "links", "lead", "split"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in textkit.by_bytes(whole, PART_BYTES, whole.schema.get_field_index("text"))):
             grams, bound = _sets(batch.column("text"), n)
             rows = batch.drop_columns(["text"]).to_pylist()
             for i, row in enumerate(rows):

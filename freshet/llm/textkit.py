@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 2 << 20  # bytes handled at once; memory is about 60 times as much
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -64,6 +65,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
+def by_bytes(batch: pa.RecordBatch, limit: int = 16 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most so many bytes of text, or one row."""
+    size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))))
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + limit, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def segments(raw: np.ndarray, at: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int, int, int, int, bool]]:
     """(first doc, last doc + 1, first byte, last byte + 1, more of that doc follows).
 

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.llm.textkit import by_bytes
+
 BATCH_SYMBOLS = 1 << 20
 KNOWN_WORDS = 600_000  # pre-tokens remembered between batches; more start the memory anew
 _NONE = np.int64(1 << 60)
@@ -182,16 +184,6 @@ def merger(path: str) -> RankMerger:
     return RankMerger(path)
 
 
-def by_bytes(batch: pa.RecordBatch, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most so many bytes of text (column 1), or one row."""
-    size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))))
-    lo = 0
-    while lo < len(batch):
-        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + limit, "right")) - 1)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def pieces_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pieces between ASCII white space (the empty one too), which piece stands where, and the documents' bounds in that."""
     data = texts.buffers()[2]

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.runtime import new_folder, open_fs, partitions, table
-from freshet.llm.token_count import by_bytes, merger, pieces_of, ragged_take
+from freshet.llm.textkit import by_bytes
+from freshet.llm.token_count import merger, pieces_of, ragged_take
 
 _SKIP, _END = b"\x5e\x2a\x4d\x18", b"\xb1\xea\x92\x8f"
 _INDEX = "id long, file string, frame_at long, frame_bytes long, frame long, n_tokens long, before long, part int"
