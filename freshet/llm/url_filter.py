@@ -55,22 +55,23 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
     """(tokens, confidence, support) of token combinations that foretell BAD; `labelled` has tokens array<string> and bad boolean.
 
     A combination needs `min_support` of all rows, and `min_count` bad ones at least.
+    Tokens that are always together in bad rows count as one of them (merge_twins).
     Combinations of more than `longest` tokens are pruned, and one is dropped if a part of it
     has the same or a greater confidence. No labelled row, no rule.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    baskets = table(labelled.where("bad is not null and size(tokens) > 0").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")), "baskets")
+    baskets = table(labelled.where("bad is not null and size(tokens) > 0").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"), F.monotonically_increasing_id().alias("row")), "baskets")
     rows = baskets.agg(F.count("*").alias("rows"), F.count_if(F.array_contains("items", BAD)).alias("bad")).first()
     empty = baskets.select(F.col("items").alias("tokens"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
     if rows["bad"] < max(1, min_count):
         return empty
     # only combinations with BAD can be rules: mine the bad baskets, then count each combination in all of them
-    bad = baskets.where(F.array_contains("items", BAD)).select(F.array_remove("items", BAD).alias("items"))
+    bad = merge_twins(baskets.where(F.array_contains("items", BAD)).select("row", F.array_remove("items", BAD).alias("items")))
     share = min(1.0, max(min_support * rows["rows"], min_count) / rows["bad"])
     frequent = FPGrowth(itemsCol="items", minSupport=share, minConfidence=1.0).fit(bad).freqItemsets.where(F.size("items") <= longest)
     sets = table(frequent.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")).distinct(), "frequent-sets")
-    counted = matches(baskets.withColumn("row", F.monotonically_increasing_id()).select("row", F.col("items").alias("tokens")), sets.select("tokens")).groupBy("rule_tokens").agg(F.count("*").alias("n"))
+    counted = matches(baskets.select("row", F.col("items").alias("tokens")), sets.select("tokens")).groupBy("rule_tokens").agg(F.count("*").alias("n"))
     rules = sets.join(counted, sets.tokens == counted.rule_tokens).select("tokens", (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / rows["rows"]).alias("support"))
     base = rows["bad"] / rows["rows"]
     good = table(rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min(1.0, min_lift * base))), "mined-rules")
@@ -80,6 +81,19 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
     return table(good.withColumn("row", F.xxhash64("tokens")).join(spare, "row", "left_anti").drop("row"), "rules")
 
 
+def merge_twins(baskets: DataFrame) -> DataFrame:
+    """(items) of baskets (row, items), with one token, the least, of those that are in the very same baskets.
+
+    A rule with a twin in another's place has the same support and confidence, and one URL
+    that is in many baskets would else add two to the power of its tokens to the frequent
+    sets. Tokens are compared by the number and a 128-bit digest of their baskets.
+    """
+    each = baskets.select("row", F.explode("items").alias("token"))
+    where = each.groupBy("token").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit("twin"))).alias("b"))
+    kept = where.groupBy("many", "a", "b").agg(F.min("token").alias("token")).select("token")
+    return each.join(kept, "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("items")).select("items")
+
+
 def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """`rows` (with tokens) with each rule all of whose tokens they have, as rule_tokens and the rule's other columns.
 

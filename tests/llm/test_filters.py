@@ -162,3 +162,10 @@ def test_mined_rules_against_counting(spark):
                 sure[c] = sum(hit) / len(hit)
     want = {c: s for c, s in sure.items() if not any(set(o) < set(c) and sure[o] >= s for o in sure)}
     assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+
+
+def test_a_url_of_many_tokens_in_many_rows_makes_few_sets(spark):
+    tokens = [f"part{i}" for i in range(24)]
+    rows = [(tokens, True)] * 300 + [(["a", f"x{i}"], False) for i in range(300)]
+    got = U.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert [(r["tokens"], r["confidence"]) for r in got] == [(["part0"], 1.0)]
