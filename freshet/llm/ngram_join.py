@@ -223,9 +223,13 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without the rows that are not the first of their class; rows repeated under one id and text stay once.
 
-    Columns stay as they are. Rows with a null id stay if their class has no other id.
+    Columns stay as they are. Rows with a null id stay if their class has no other id, or no
+    class at all.
     """
     found = ngram_jaccard_classes(docs, id_col, text_col, **options)
-    keep = found.where(F.col(f"`{id_col}`").eqNullSafe(F.col("class_id"))).select(F.col(f"`{id_col}`").alias("__kept_id")).distinct()
-    joined = docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
+    own = F.col(f"`{id_col}`")
+    keep = table(found.where(own.eqNullSafe(F.col("class_id"))).groupBy(own.alias("__kept_id")).agg(F.count("*").alias("__rows")), "kept")
+    joined = docs.join(keep.select("__kept_id"), own.eqNullSafe(F.col("__kept_id")), "left_semi")
+    if not keep.where("__rows > 1").limit(1).count():  # no id is repeated among those that stay: spare the texts a shuffle
+        return joined
     return joined.withColumn("__text_key", F.xxhash64(F.col(f"`{text_col}`"))).dropDuplicates([id_col, "__text_key"]).drop("__text_key")
