@@ -65,7 +65,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def by_bytes(batch: pa.RecordBatch, limit: int = 16 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, limit: int = 6 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes of text, or one row."""
     size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))))
     lo = 0

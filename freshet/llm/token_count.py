@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from freshet.llm.textkit import by_bytes
 
 BATCH_SYMBOLS = 1 << 20
-KNOWN_WORDS = 600_000  # pre-tokens remembered between batches; more start the memory anew
+KNOWN_WORDS = 400_000  # pre-tokens remembered between batches; more start the memory anew
 _NONE = np.int64(1 << 60)
 
 

@@ -35,7 +35,7 @@ from freshet.llm.token_count import merger, pieces_of, ragged_take
 
 _SKIP, _END = b"\x5e\x2a\x4d\x18", b"\xb1\xea\x92\x8f"
 _INDEX = "id long, file string, frame_at long, frame_bytes long, frame long, n_tokens long, before long, part int"
-KNOWN_WORDS = 800_000  # words remembered between batches; more start the memory anew
+KNOWN_WORDS = 350_000  # words remembered between batches; more start the memory anew
 
 
 class Encoder:
