@@ -38,11 +38,11 @@ def set_digest(digest: str | Column) -> Column:
     return F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(digest))), 256)
 
 
-def tree_digest(df, group: list[str], digest: str, fan_out: int = 256):
-    """Digest per group of any size: members are dealt to fan_out buckets by their own first bits, buckets digested, then the buckets' digests."""
-    bucket = F.pmod(F.xxhash64(digest), F.lit(fan_out))
-    leaves = df.groupBy(*group, bucket.alias("__bucket")).agg(set_digest(digest).alias("__leaf"))
-    return leaves.groupBy(*group).agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("__bucket", "__leaf"))), lambda x: x["__leaf"])), 256).alias("digest"))
+def tree_digest(df, group: list[str], digest: str, digits: int = 3):
+    """Digest per group of any size: members are dealt by the first hexadecimal digits of their own digests, each deal is digested, then the deals' digests in order."""
+    leaves = df.groupBy(*group, F.substring(digest, 1, digits).alias("__deal")).agg(set_digest(digest).alias("__leaf"))
+    ordered = F.array_sort(F.collect_list(F.struct("__deal", "__leaf")))
+    return leaves.groupBy(*group).agg(F.sha2(F.concat_ws("\n", F.transform(ordered, lambda x: x["__leaf"])), 256).alias("digest"))
 
 
 def fnv1a64(data: bytes) -> int:

@@ -104,3 +104,38 @@ def reciprocal_rank_fusion(ranked: list[DataFrame], key: str, k: int = 60) -> Da
     for r in ranked[1:]:
         parts = parts.unionByName(r.select(key, "rank"))
     return parts.groupBy(key).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"))
+
+
+def fused_top_k(rows: DataFrame, key: str, values: list[Column], k: int = 10, c: int = 60) -> DataFrame:
+    """(key, score): the k best rows by reciprocal rank fusion of several orders, each by a value, least first, ties by key.
+
+    Exact, without ranking all rows: the k first rows of one order score 1 / (c + k) or more,
+    so with n orders no row beyond place n * (c + k) - c of all of them can be among the best.
+    The few rows before that place are fetched, and a pass for each order counts how many rows precede them.
+    """
+    n = len(values)
+    first = n * (c + k) - c
+    names = [f"v{i}" for i in range(n)]
+    own = rows.select(F.col(key).alias("key"), *[v.alias(x) for v, x in zip(values, names, strict=True)])
+    few = own.orderBy(names[0], "key").limit(first)
+    for x in names[1:]:
+        few = few.unionByName(own.orderBy(x, "key").limit(first))
+    found = {r["key"]: r for r in few.collect()}  # n * first rows at most
+    kind = own.schema["key"].dataType.simpleString()
+    if not found:
+        return own.select(F.col("key").alias(key), F.lit(0.0).alias("score")).limit(0)
+    ranks: list[dict] = []
+    for x in names:
+        order = sorted((r[x], r["key"]) for r in found.values())
+        marks = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(k).alias("k")) for v, k in order])
+        # how many of the few stand before a row; rows with the same number are counted together
+        place = F.size(F.filter(marks, lambda m, x=x: (m["v"] < F.col(x)) | ((m["v"] == F.col(x)) & (m["k"] < F.col("key")))))
+        counts = {r["place"]: r["count"] for r in own.groupBy(place.alias("place")).count().collect()}
+        total, at = 0, {}
+        for j, (_, k) in enumerate(order):
+            total += counts.get(j, 0)
+            at[k] = total
+        ranks.append(at)
+    scores = [(k, sum(1.0 / (c + at[k]) for at in ranks)) for k in found]
+    best = sorted(scores, key=lambda s: (-s[1], s[0]))[:k]
+    return rows.sparkSession.createDataFrame(best, f"`{key}` {kind}, score double")

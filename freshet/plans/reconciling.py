@@ -247,11 +247,13 @@ def content_fingerprint_dedup(spark, t):
     return t.documents.groupBy(F.sha2("text", 256).alias("fp")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
 
 
-@query("SELECT source, sha256(array_to_string(list_sort(list(sha256(text))), chr(10))) AS digest FROM documents GROUP BY 1")
+@query("""
+WITH l AS (SELECT source, substr(sha256(text), 1, 3) AS deal, sha256(array_to_string(list_sort(list(sha256(text))), chr(10))) AS leaf FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)
+SELECT source, sha256(array_to_string(list(leaf ORDER BY deal), chr(10))) AS digest FROM l GROUP BY 1""")
 def manifest_digest(spark, t):
-    from freshet.functions.hashing import set_digest
+    from freshet.functions.hashing import tree_digest
 
-    return t.documents.groupBy("source").agg(set_digest(F.sha2("text", 256)).alias("digest"))
+    return tree_digest(t.documents.where("text is not null").select("source", F.sha2("text", 256).alias("fp")), ["source"], "fp")
 
 
 @query("""

@@ -150,15 +150,10 @@ r AS (SELECT vec_id, row_number() OVER (ORDER BY x, vec_id) AS a,
              row_number() OVER (ORDER BY CASE WHEN contains(lower(text), 'license') THEN 0 ELSE 1 END, vec_id) AS b FROM c)
 SELECT vec_id, round(1.0 / (60 + a) + 1.0 / (60 + b), 8) AS score FROM r ORDER BY 1.0 / (60 + a) + 1.0 / (60 + b) DESC, vec_id LIMIT 10""")
 def hybrid_rrf(spark, t):
-    """Two rankings, fused. A row below both lists' first 1,000 cannot be among the ten best, so each list ends there: 2 / 1060 < 1 / (60 + rank) of the tenth."""
     c = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    semantic = V.knn(c, _probe(t), 1000, key="vec_id", by="l2").select("vec_id", "rank")
-    lexical = c.withColumn("hit", F.when(F.contains(F.lower("text"), F.lit("license")), 0).otherwise(1)).orderBy("hit", "vec_id").limit(1000)
-    from pyspark.sql import Window
-
-    lexical = lexical.withColumn("rank", F.row_number().over(Window.orderBy("hit", "vec_id"))).select("vec_id", "rank")
-    fused = V.reciprocal_rank_fusion([semantic, lexical], "vec_id")
-    return fused.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 8).alias("score"))
+    far = V.euclidean(F.col("embedding"), F.array(*[F.lit(x) for x in _probe(t)]))
+    no_hit = F.when(F.contains(F.lower("text"), F.lit("license")), 0).otherwise(1)
+    return V.fused_top_k(c, "vec_id", [far, no_hit]).select("vec_id", F.round("score", 8).alias("score"))
 
 
 @query("""

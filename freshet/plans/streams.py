@@ -58,8 +58,8 @@ WITH s AS (SELECT DISTINCT user_id AS key, 10::BIGINT AS value FROM events WHERE
 SELECT key, (coalesce(value, 0) + coalesce(n, 0))::BIGINT AS value FROM s FULL JOIN e USING (key)""")
 def use_state_batch(spark, t):
     state = t.events.where("user_id % 2 = 0").select(F.col("user_id").alias("key"), F.lit(10).cast("bigint").alias("value")).distinct()
-    fresh = t.events.where("event_id % 3 = 0").select(F.col("user_id").alias("key"), "event_id", F.lit(1).cast("bigint").alias("one"))
-    return live.use_state(fresh, state, "key", F.lit(0), lambda acc, v: acc + v, "one", "event_id")
+    fresh = t.events.where("event_id % 3 = 0").select(F.col("user_id").alias("key"))
+    return live.use_state(fresh, state, "key", F.lit(0), F.count("*"), lambda before, n: before + n)
 
 
 @query("SELECT event_id FROM events WHERE ts IS NULL OR ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events)")

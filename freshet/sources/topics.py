@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,10 +38,13 @@ def topic_as_map(messages: DataFrame, is_deletion: Column | None = None, order:
 
 
 def committed_frontier(done: DataFrame) -> DataFrame:
-    """(partition, next_offset): how far each partition is done without a gap, from (partition, offset) of messages done; counted from the least offset."""
-    each = done.select("partition", "offset").distinct().withColumn("island", F.col("offset") - F.row_number().over(Window.partitionBy("partition").orderBy("offset")))
-    first = each.groupBy("partition").agg(F.min("island").alias("island"))
-    return each.join(first, ["partition", "island"]).groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
+    """(partition, next_offset): how far each partition is done without a gap, from (partition, offset) of messages done; counted from the least offset.
+
+    It is the least offset that follows one that is done and is not done itself.
+    """
+    each = done.select("partition", "offset").distinct()
+    after = each.select("partition", (F.col("offset") + 1).alias("offset"))
+    return after.join(each, ["partition", "offset"], "left_anti").groupBy("partition").agg(F.min("offset").alias("next_offset"))
 
 
 def coalesce_changes(changed: DataFrame) -> DataFrame:

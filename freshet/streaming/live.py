@@ -51,14 +51,16 @@ def running_counts(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(count, f"`{key}` {kind}, n long", "n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def use_state(events: DataFrame, state: DataFrame, key: str, initial: Column, step: Callable[[Column, Column], Column], value: str, order: str) -> DataFrame:
-    """(key, value) after a batch: `step` folds a key's events, in order, into its state or `initial`. Keys that had no event keep their state."""
-    folded = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("__events"))
-    kind = state.schema["value"].dataType
-    joined = state.join(folded, key, "full_outer")
-    start = F.coalesce(F.col("value"), initial).cast(kind)
-    after = F.aggregate(F.coalesce("__events", F.array().cast(folded.schema["__events"].dataType)), start, lambda acc, e: step(acc, e[value]).cast(kind))
-    return joined.select(key, after.alias("value"))
+def use_state(events: DataFrame, state: DataFrame, key: str, initial: Column, change: Column, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """(key, value) after a batch: `change` aggregates a key's events, `combine` adds it to the key's state or `initial`. Keys without an event keep their state.
+
+    As an aggregate, `change` is formed before the shuffle, so a key may have any number of
+    events; for the last event use max_by.
+    """
+    changed = events.groupBy(key).agg(change.alias("__change"))
+    before = F.coalesce(F.col("value"), initial).cast(state.schema["value"].dataType)
+    after = F.when(F.col("__change").isNull(), before).otherwise(combine(before, F.col("__change"))).cast(state.schema["value"].dataType)
+    return state.join(changed, key, "full_outer").select(key, after.alias("value"))
 
 
 class Refresher:

@@ -85,3 +85,17 @@ def test_components_and_entities(spark):
     assert {(r["a"], r["b"]) for r in entity.similar_pairs(df).collect()} == brute
     none = {r["name"]: r["parent"] for r in entity.resolve_entities(df, lambda n, c: entity.Resolution(None)).collect()}
     assert set(none.values()) == {None}
+
+
+def test_fusion_is_exact(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, float(rng.randrange(400)), float(rng.randrange(5))) for i in range(900)]
+    a = {k: n + 1 for n, (k, *_) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    b = {k: n + 1 for n, (k, *_) in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
+    want = sorted(((k, 1 / (60 + a[k]) + 1 / (60 + b[k])) for k in a), key=lambda s: (-s[1], s[0]))[:10]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = [tuple(r) for r in vectors.fused_top_k(df, "id", [F.col("x"), F.col("y")]).collect()]
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert vectors.fused_top_k(df.limit(0), "id", [F.col("x"), F.col("y")]).count() == 0
