@@ -50,7 +50,8 @@ def redact(text: Column, categories: tuple[str, ...] = ("email", "ssn", "payment
 
 def findings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, category, match) of every finding."""
-    each = F.concat(*[F.transform(matches(F.coalesce(F.col(text), F.lit("")), k), lambda m, k=k: F.struct(F.lit(k).alias("category"), m.alias("match"))) for k in PATTERNS])
+    named = lambda k: lambda m: F.struct(F.lit(k).alias("category"), m.alias("match"))
+    each = F.concat(*[F.transform(matches(F.coalesce(F.col(text), F.lit("")), k), named(k)) for k in PATTERNS])
     return df.select(key, F.explode(each).alias("f")).select(key, "f.category", "f.match")
 
 

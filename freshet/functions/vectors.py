@@ -106,6 +106,10 @@ def reciprocal_rank_fusion(ranked: list[DataFrame], key: str, k: int = 60) -> Da
     return parts.groupBy(key).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
+def _before(value: Column, key: Column):
+    return lambda m: (m["v"] < value) | ((m["v"] == value) & (m["k"] < key))
+
+
 def fused_top_k(rows: DataFrame, key: str, values: list[Column], k: int = 10, c: int = 60) -> DataFrame:
     """(key, score): the k best rows by reciprocal rank fusion of several orders, each by a value, least first, ties by key.
 
@@ -129,7 +133,8 @@ def fused_top_k(rows: DataFrame, key: str, values: list[Column], k: int = 10, c:
         order = sorted((r[x], r["key"]) for r in found.values())
         marks = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(k).alias("k")) for v, k in order])
         # how many of the few stand before a row; rows with the same number are counted together
-        place = F.size(F.filter(marks, lambda m, x=x: (m["v"] < F.col(x)) | ((m["v"] == F.col(x)) & (m["k"] < F.col("key")))))
+        value = F.col(x)
+        place = F.size(F.filter(marks, _before(value, F.col("key"))))
         counts = {r["place"]: r["count"] for r in own.groupBy(place.alias("place")).count().collect()}
         total, at = 0, {}
         for j, (_, k) in enumerate(order):

@@ -80,6 +80,7 @@ def test_personal_data(spark):
     assert n[0].asDict() == {"id": 1, "email": 1, "phone": 2, "ssn": 1, "payment_card": 1} and n[1]["email"] == 0
     out = df.select(pii.redact(F.col("text")).alias("t")).first()["t"]
     assert out.count("[REDACTED_") == 5 and "4111 1111 1111 1112" in out and "000-12-3456" in out
+    assert sorted(r["category"] for r in pii.findings(df, "id", "text").collect()) == ["email", "payment_card", "phone", "phone", "ssn"]
     go, aside = pii.enforce(df, "text", {"email": "quarantine", "ssn": "deny"})
     assert [r["pii_reason"] for r in aside.collect()] == ["deny:ssn"] and go.count() == 1
 
