@@ -137,10 +137,10 @@ def fused_top_k(rows: DataFrame, key: str, values: list[Column], k: int = 10, c:
         place = F.size(F.filter(marks, _before(value, F.col("key"))))
         counts = {r["place"]: r["count"] for r in own.groupBy(place.alias("place")).count().collect()}
         total, at = 0, {}
-        for j, (_, k) in enumerate(order):
+        for j, (_, row) in enumerate(order):
             total += counts.get(j, 0)
-            at[k] = total
+            at[row] = total
         ranks.append(at)
-    scores = [(k, sum(1.0 / (c + at[k]) for at in ranks)) for k in found]
+    scores = [(row, sum(1.0 / (c + at[row]) for at in ranks)) for row in found]
     best = sorted(scores, key=lambda s: (-s[1], s[0]))[:k]
     return rows.sparkSession.createDataFrame(best, f"`{key}` {kind}, score double")
