@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from freshet.llm.textkit import by_bytes
+
 _GAP = "\n\n\n"  # one less than the longest n-gram: no n-gram reaches into the next text
 LONGEST = 4
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
@@ -31,13 +33,6 @@ def grams(points: np.ndarray, n: int, bits: int) -> np.ndarray:
 
 
 def text_parts(batch: pa.RecordBatch, column: int = 1, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with about `limit` characters, or one text, and their texts; null is empty."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    lo, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > limit:
-            yield batch.slice(lo, i - lo), texts[lo:i]
-            lo, held = i, 0
-        held += len(t) + 4
-    if lo < len(texts):
-        yield batch.slice(lo), texts[lo:]
+    """Parts of a batch with at most `limit` bytes of text, or one text, and their texts; null is empty."""
+    for part in by_bytes(batch, limit, column):
+        yield part, [t or "" for t in part.column(column).to_pylist()]

@@ -26,7 +26,7 @@ MASKS = ("1110100111", "1101011011", "11001110101", "1011110011")
 BLOCK_WORDS = 400_000
 WINDOW, STEP = 4_096, 3_968  # words of a window of a long item, and from one to the next
 _FILTER_BITS = 24
-PART_BYTES = 8 << 20  # of text, hashed at once
+PART_BYTES = 3 << 20  # of text, hashed at once
 _MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(max(map(len, MASKS)))], np.uint64)
 _PENALTY = 2.0
 
@@ -158,7 +158,7 @@ def find_overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     out = spark.createDataFrame([], schema)
     for block in test_blocks(tests, item_col, text_col, min_words):
         kind = pa.array(block.items[:1]).type if item_type not in ("int", "bigint", "string") else {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[item_type]
-        out = out.unionByName(own.mapInArrow(_finder(spark.sparkContext.broadcast(block), min_words, identity, kind), schema))
+        out = out.unionByName(own.mapInArrow(textkit.tidy(_finder(spark.sparkContext.broadcast(block), min_words, identity, kind)), schema))
     best = out.groupBy("id", "item").agg(F.max(F.struct("matched", (-F.col("run")).alias("run"), (-F.col("doc_at")).alias("doc_at"), (-F.col("item_at")).alias("item_at"))).alias("best"))
     return best.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.matched").alias("matched_words"), (-F.col("best.run")).alias("run_words"), (-F.col("best.doc_at")).alias("doc_word"), (-F.col("best.item_at")).alias("item_word")
@@ -185,5 +185,5 @@ def decontaminate(docs: DataFrame, tests: DataFrame, text_col: str = "text", ite
     Column names of `docs` must differ from each other.
     """
     for block in test_blocks(tests, item_col, "text", min_words):
-        docs = docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast(block), text_col, min_words, identity), docs.schema)
+        docs = docs.mapInArrow(textkit.tidy(_keeper(docs.sparkSession.sparkContext.broadcast(block), text_col, min_words, identity)), docs.schema)
     return docs

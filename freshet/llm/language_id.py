@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.chargrams import codepoints, grams, text_parts
+from freshet.llm.textkit import tidy
 
 BITS = 15
 SIZES = (1, 2, 3)
@@ -137,7 +138,7 @@ def fit_language_model(labelled: DataFrame, text: Column, label: Column, key: Co
     if len(sizes) > most_classes:
         raise ValueError("too many languages")
     languages = sorted(sizes)
-    found = rows.select("text").mapInArrow(_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
+    found = rows.select("text").mapInArrow(tidy(_frequencies), "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
     df, docs = np.zeros(1 << BITS), 0
     for r in found:
         if r["bucket"] < 0:
@@ -191,7 +192,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, id_col: str =
     at: equal texts, equal values. Ids may repeat or be null; other columns are ignored.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = own.mapInArrow(_predictor(model), f"id {own.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    out = own.mapInArrow(tidy(_predictor(model)), f"id {own.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -213,7 +214,7 @@ def keep_languages(docs: DataFrame, model: LanguageModel | None, text_col: str =
 
     Without a model nothing can be told, and no row stays.
     """
-    return docs.mapInArrow(_keeper(model, text_col, accepted, min_score), docs.schema)
+    return docs.mapInArrow(tidy(_keeper(model, text_col, accepted, min_score)), docs.schema)
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:

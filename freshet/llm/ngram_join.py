@@ -28,7 +28,7 @@ from freshet.llm.runtime import partitions, table
 BLOCK_CLASSES = 768
 BLOCK_SHINGLES = 400_000
 _COLUMNS = 4096
-PART_BYTES = 8 << 20  # of text, hashed at once
+PART_BYTES = 3 << 20  # of text, hashed at once
 
 
 def plan_bands(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -190,7 +190,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own: Column = F.col(f"`{id_col}`")
     kind = docs.select(own.alias("id")).schema["id"].dataType.simpleString()
     source = docs.select(own.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = table(source.mapInArrow(_signer(n, bands, rows), f"id {kind}, k binary, n long, bands array<long>"), "signed")
+    signed = table(source.mapInArrow(textkit.tidy(_signer(n, bands, rows)), f"id {kind}, k binary, n long, bands array<long>"), "signed")
     classes = table(signed.where("k is not null").groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
     in_band = classes.select("k", F.posexplode("bands").alias("band", "h"))
@@ -206,7 +206,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "cluster", "nb", "block", "k", "copies", "text", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     )
     dealt = dealt.repartition(partitions(spark), "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "k")
-    found = table(dealt.mapInArrow(_verifier(n, threshold), "k binary, links long, lead binary, split boolean"), "links")
+    found = table(dealt.mapInArrow(textkit.tidy(_verifier(n, threshold)), "k binary, links long, lead binary, split boolean"), "links")
 
     whole = found.where("not split").select("k", F.col("lead").alias("root"))
     parts = components(found.where("split").select(F.col("k").alias("u"), F.col("lead").alias("v"))).select(F.col("node").alias("k"), "root")

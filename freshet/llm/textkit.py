@@ -6,13 +6,15 @@ became a-z: the pattern ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` on lower-cased
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 2 << 20  # bytes handled at once; memory is about 60 times as much
+SEGMENT = 512 << 10  # bytes handled at once; memory is about 60 times as much
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 
@@ -65,6 +67,23 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
+def tidy(work: Callable) -> Callable:
+    """A batch function that gives memory back to the system when its task ends: Python workers are used again by other stages."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library than glibc
+                pass
+
+    return run
+
+
 def by_bytes(batch: pa.RecordBatch, limit: int = 6 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes of text, or one row."""
     size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.textkit import by_bytes
+from freshet.llm.textkit import by_bytes, tidy
 
 BATCH_SYMBOLS = 1 << 20
 KNOWN_WORDS = 400_000  # pre-tokens remembered between batches; more start the memory anew
@@ -67,6 +67,10 @@ class RankMerger:
             raise ValueError("a merge comes before the one that makes its part")
         self._words: dict[str, int] = {}
 
+    def forget(self) -> None:
+        """Drops what was remembered: the worker may go on to other work."""
+        self._words = {}
+
     def normal(self, text: str) -> str:
         """NFC and lower case; as in the vocabulary's own lower-casing, no rule looks at neighbours."""
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -200,6 +204,7 @@ def pieces_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = merger(path)
+        tool.forget()
         for whole in batches:
             for batch in by_bytes(whole):
                 texts = pc.fill_null(batch.column(1), "")
@@ -208,6 +213,7 @@ def _counter(path: str):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(total[bound[1:]] - total[bound[:-1]])], ["id", "n_bytes", "n_tokens"]
                 )
+        tool.forget()
 
     return count
 
@@ -221,5 +227,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     repeat or be null; other columns are ignored, whatever their names.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    counted = own.mapInArrow(_counter(path), f"id {own.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    counted = own.mapInArrow(tidy(_counter(path)), f"id {own.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.runtime import new_folder, open_fs, partitions, table
-from freshet.llm.textkit import by_bytes
+from freshet.llm.textkit import by_bytes, tidy
 from freshet.llm.token_count import merger, pieces_of, ragged_take
 
 _SKIP, _END = b"\x5e\x2a\x4d\x18", b"\xb1\xea\x92\x8f"
@@ -56,6 +56,10 @@ class Encoder:
         self._word_tool = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": plain})) if self._rules else self._tool
         self._known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drops what was remembered: the worker may go on to other work."""
+        self._known = {}
+
     @staticmethod
     def _encode(tool, texts: list[str]) -> list[bytes]:
         each = [e.ids for e in tool.encode_batch_fast(texts, add_special_tokens=False)]
@@ -131,6 +135,7 @@ def _writer(folder: str, path: str, end_id: int):
             entries = b"".join(struct.pack("<III", *s) for s in seek) + struct.pack("<IB", len(seek), tool.width) + _END
             out.write(_SKIP + struct.pack("<I", len(entries)) + entries)
             out.close()
+        tool.forget()
 
     return write
 
@@ -207,7 +212,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ordered = own.repartitionByRange(files or partitions(spark), "id").sortWithinPartitions("id", F.xxhash64("text"))
-    return table(ordered.mapInArrow(_writer(folder, path, end_id), _INDEX), "token-index")
+    return table(ordered.mapInArrow(tidy(_writer(folder, path, end_id)), _INDEX), "token-index")
 
 
 def token_output(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -219,7 +224,7 @@ def token_output(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-files")
     index = write_token_files(docs, folder, path, end_id, id_col, text_col)
-    read = index.select("id", "file", "frame", "part", "before").mapInArrow(_checker(folder), "id long, part int, before long, n_tokens long, ids_crc32 long")
+    read = index.select("id", "file", "frame", "part", "before").mapInArrow(tidy(_checker(folder)), "id long, part int, before long, n_tokens long, ids_crc32 long")
     base = index.groupBy("part").agg(F.sum("n_tokens").alias("of_part"))  # a row per file
     base = base.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("base"))
     return read.join(base, "part").select(F.col("id").alias(id_col), (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
