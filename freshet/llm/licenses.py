@@ -1,7 +1,7 @@
 """License notices in texts, by ordered signature rules (operator 8). DataFrame functions only.
 
 A text becomes its words, lower case, a space around each. Texts without any keyword are
-done. For the others, the rules whose keyword is among the words run in order of priority;
+done. For the others, the rules of which a keyword is among the words run in order of priority;
 what a rule matches is taken: a later rule's match that lies within a taken interval, or
 overlaps one, is suppressed. Rules with more words come before those that their matches
 contain, so a grant hides the bare name inside it. Work and memory are in proportion to the
@@ -20,90 +20,129 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words to find, and the label of each: fixed values.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-_V = "(?:version |v )?"
-#: label, keyword, pattern of its full name, pattern of its short name or identifier, words of its address.
+_V = "(?:version |v ?)?"
+#: label, pattern of its full name, pattern of its short name or identifier, words of its address.
 LICENSES = (
-    ("0bsd", "0bsd", "zero clause bsd", "0bsd", "opensource org licenses 0bsd"),
-    ("afl-3.0", "academic", f"academic free license {_V}3 0", "afl 3 0", "opensource org licenses afl 3 0"),
-    ("agpl-3.0", "affero", f"gnu affero general public license {_V}3(?: 0)?", "agpl ?v?3(?: 0)?", "gnu org licenses agpl 3 0"),
-    ("apache-1.1", "apache", f"apache (?:software )?license {_V}1 1", "apache 1 1", "apache org licenses license 1 1"),
-    ("apache-2.0", "apache", f"apache (?:software )?license {_V}2(?: 0)?", "apache 2(?: 0)?", "apache org licenses license 2 0"),
-    ("artistic-1.0", "artistic", f"artistic license {_V}1 0", "artistic 1 0", "opensource org licenses artistic 1 0"),
-    ("artistic-2.0", "artistic", f"artistic license {_V}2 0", "artistic 2 0", "opensource org licenses artistic 2 0"),
-    ("beerware", "beer", "beer ?ware license", "beerware", "people freebsd org phk"),
-    ("blueoak-1.0.0", "blue", "blue oak model license 1 0 0", "blueoak 1 0 0", "blueoakcouncil org license 1 0 0"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)", "bsd ?2", "opensource org licenses bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)", "bsd ?3", "opensource org licenses bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd ?4", "spdx org licenses bsd 4 clause"),
-    ("bsl-1.0", "boost", f"boost software license {_V}1 0", "bsl 1 0", "boost org license 1 0"),
-    ("busl-1.1", "business", f"business source license {_V}1 1", "busl 1 1", "mariadb com bsl11"),
-    ("cc-by-2.0", "cc", "creative commons attribution 2 0(?: generic)?", "cc by 2 0", "creativecommons org licenses by 2 0"),
-    ("cc-by-3.0", "cc", "creative commons attribution 3 0(?: unported)?", "cc by 3 0", "creativecommons org licenses by 3 0"),
-    ("cc-by-4.0", "cc", "creative commons attribution 4 0(?: international)?", "cc by 4 0", "creativecommons org licenses by 4 0"),
-    ("cc-by-nc-2.0", "cc", "creative commons attribution non ?commercial 2 0", "cc by nc 2 0", "creativecommons org licenses by nc 2 0"),
-    ("cc-by-nc-3.0", "cc", "creative commons attribution non ?commercial 3 0", "cc by nc 3 0", "creativecommons org licenses by nc 3 0"),
-    ("cc-by-nc-4.0", "cc", "creative commons attribution non ?commercial 4 0", "cc by nc 4 0", "creativecommons org licenses by nc 4 0"),
-    ("cc-by-nc-nd-4.0", "cc", "creative commons attribution non ?commercial no ?derivatives 4 0", "cc by nc nd 4 0", "creativecommons org licenses by nc nd 4 0"),
-    ("cc-by-nc-sa-4.0", "cc", "creative commons attribution non ?commercial share ?alike 4 0", "cc by nc sa 4 0", "creativecommons org licenses by nc sa 4 0"),
-    ("cc-by-nd-4.0", "cc", "creative commons attribution no ?derivatives 4 0", "cc by nd 4 0", "creativecommons org licenses by nd 4 0"),
-    ("cc-by-sa-3.0", "cc", "creative commons attribution share ?alike 3 0", "cc by sa 3 0", "creativecommons org licenses by sa 3 0"),
-    ("cc-by-sa-4.0", "cc", "creative commons attribution share ?alike 4 0", "cc by sa 4 0", "creativecommons org licenses by sa 4 0"),
-    ("cc0-1.0", "cc0", "creative commons zero(?: v1 0)?(?: universal)?", "cc0(?: 1 0)?", "creativecommons org publicdomain zero 1 0"),
-    ("cddl-1.0", "cddl", f"common development and distribution license {_V}1 0", "cddl 1 0", "opensource org licenses cddl1"),
-    ("cecill-2.1", "cecill", "cecill free software license agreement v2 1", "cecill 2 1", "cecill info licences licence cecill v2 1"),
-    ("cpl-1.0", "common", f"common public license {_V}1 0", "cpl 1 0", "opensource org licenses cpl1 0"),
-    ("ecl-2.0", "educational", f"educational community license {_V}2 0", "ecl 2 0", "opensource org licenses ecl 2 0"),
-    ("epl-1.0", "eclipse", f"eclipse public license {_V}1 0", "epl 1 0", "eclipse org legal epl v10"),
-    ("epl-2.0", "eclipse", f"eclipse public license {_V}2 0", "epl 2 0", "eclipse org legal epl 2 0"),
-    ("eupl-1.2", "european", f"european union public licen[cs]e {_V}1 2", "eupl 1 2", "joinup ec europa eu eupl 1 2"),
-    ("gfdl-1.3", "gfdl", f"gnu free documentation license {_V}1 3", "gfdl 1 3", "gnu org licenses fdl 1 3"),
-    ("gpl-1.0", "gpl", f"gnu general public license {_V}1(?: 0)?", "gpl ?v?1(?: 0)?", "gnu org licenses gpl 1 0"),
-    ("gpl-2.0", "gpl", f"gnu general public license {_V}2(?: 0)?", "gpl ?v?2(?: 0)?", "gnu org licenses gpl 2 0"),
-    ("gpl-3.0", "gpl", f"gnu general public license {_V}3(?: 0)?", "gpl ?v?3(?: 0)?", "gnu org licenses gpl 3 0"),
-    ("isc", "isc", "(?:internet systems consortium|isc)", "isc", "opensource org licenses isc"),
-    ("lgpl-2.1", "lgpl", f"gnu lesser general public license {_V}2 1", "lgpl ?v?2 1", "gnu org licenses lgpl 2 1"),
-    ("lgpl-3.0", "lgpl", f"gnu lesser general public license {_V}3(?: 0)?", "lgpl ?v?3(?: 0)?", "gnu org licenses lgpl 3 0"),
-    ("lppl-1.3c", "latex", f"latex project public license {_V}1 3c", "lppl 1 3c", "latex project org lppl lppl 1 3c"),
-    ("mit", "mit", "mit", "expat", "opensource org licenses mit"),
-    ("mit-0", "mit", "mit no attribution", "mit 0", "opensource org licenses mit 0"),
-    ("mpl-1.1", "mozilla", f"mozilla public license {_V}1 1", "mpl 1 1", "mozilla org mpl 1 1"),
-    ("mpl-2.0", "mozilla", f"mozilla public license {_V}2 0", "mpl 2 0", "mozilla org mpl 2 0"),
-    ("ms-pl", "microsoft", "microsoft public license", "ms pl", "opensource org licenses ms pl"),
-    ("ncsa", "ncsa", "university of illinois ncsa open source license", "ncsa", "opensource org licenses ncsa"),
-    ("odbl-1.0", "database", f"open data commons open database license {_V}1 0", "odbl 1 0", "opendatacommons org licenses odbl 1 0"),
-    ("ofl-1.1", "font", f"sil open font license {_V}1 1", "ofl 1 1", "scripts sil org ofl"),
-    ("postgresql", "postgresql", "postgresql licen[cs]e", "postgresql", "opensource org licenses postgresql"),
-    ("psf-2.0", "python", f"python software foundation license {_V}2", "psf 2 0", "docs python org license"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense", "unlicense org"),
-    ("upl-1.0", "universal", f"universal permissive license {_V}1 0", "upl 1 0", "oss oracle com licenses upl"),
-    ("wtfpl", "wtfpl", "do what the fuck you want to public license", "wtfpl", "wtfpl net"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib", "opensource org licenses zlib"),
-    ("zpl-2.1", "zope", f"zope public license {_V}2 1", "zpl 2 1", "opensource org licenses zpl 2 1"),
+    ("0bsd", "zero clause bsd", "0bsd", "opensource org licenses 0bsd"),
+    ("afl-3.0", f"academic free license {_V}3 0", "afl 3 0", "opensource org licenses afl 3 0"),
+    ("agpl-3.0", f"gnu affero general public license {_V}3(?: 0)?", "agpl ?v?3(?: 0)?", "gnu org licenses agpl 3 0"),
+    ("apache-1.1", f"apache (?:software )?license {_V}1 1", "apache 1 1", "apache org licenses license 1 1"),
+    ("apache-2.0", f"apache (?:software )?license {_V}2(?: 0)?", "apache 2(?: 0)?", "apache org licenses license 2 0"),
+    ("artistic-1.0", f"artistic license {_V}1 0", "artistic 1 0", "opensource org licenses artistic 1 0"),
+    ("artistic-2.0", f"artistic license {_V}2 0", "artistic 2 0", "opensource org licenses artistic 2 0"),
+    ("beerware", "beer ?ware license", "beerware", "people freebsd org phk"),
+    ("blueoak-1.0.0", "blue oak model license 1 0 0", "blueoak 1 0 0", "blueoakcouncil org license 1 0 0"),
+    ("bsd-2-clause", "(?:simplified bsd|bsd 2 clause|2 clause bsd)", "bsd ?2", "opensource org licenses bsd 2 clause"),
+    ("bsd-3-clause", "(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd)", "bsd ?3", "opensource org licenses bsd 3 clause"),
+    ("bsd-4-clause", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd ?4", "spdx org licenses bsd 4 clause"),
+    ("bsl-1.0", f"boost software license {_V}1 0", "bsl 1 0", "boost org license 1 0"),
+    ("busl-1.1", f"business source license {_V}1 1", "busl 1 1", "mariadb com bsl11"),
+    ("cc-by-2.0", "creative commons attribution 2 0(?: generic)?", "cc by 2 0", "creativecommons org licenses by 2 0"),
+    ("cc-by-3.0", "creative commons attribution 3 0(?: unported)?", "cc by 3 0", "creativecommons org licenses by 3 0"),
+    ("cc-by-4.0", "creative commons attribution 4 0(?: international)?", "cc by 4 0", "creativecommons org licenses by 4 0"),
+    ("cc-by-nc-2.0", "creative commons attribution non ?commercial 2 0", "cc by nc 2 0", "creativecommons org licenses by nc 2 0"),
+    ("cc-by-nc-3.0", "creative commons attribution non ?commercial 3 0", "cc by nc 3 0", "creativecommons org licenses by nc 3 0"),
+    ("cc-by-nc-4.0", "creative commons attribution non ?commercial 4 0", "cc by nc 4 0", "creativecommons org licenses by nc 4 0"),
+    ("cc-by-nc-nd-4.0", "creative commons attribution non ?commercial no ?derivatives 4 0", "cc by nc nd 4 0", "creativecommons org licenses by nc nd 4 0"),
+    ("cc-by-nc-sa-4.0", "creative commons attribution non ?commercial share ?alike 4 0", "cc by nc sa 4 0", "creativecommons org licenses by nc sa 4 0"),
+    ("cc-by-nd-4.0", "creative commons attribution no ?derivatives 4 0", "cc by nd 4 0", "creativecommons org licenses by nd 4 0"),
+    ("cc-by-sa-3.0", "creative commons attribution share ?alike 3 0", "cc by sa 3 0", "creativecommons org licenses by sa 3 0"),
+    ("cc-by-sa-4.0", "creative commons attribution share ?alike 4 0", "cc by sa 4 0", "creativecommons org licenses by sa 4 0"),
+    ("cc0-1.0", "creative commons zero(?: v1 0)?(?: universal)?", "cc0(?: 1 0)?", "creativecommons org publicdomain zero 1 0"),
+    ("cddl-1.0", f"common development and distribution license {_V}1 0", "cddl 1 0", "opensource org licenses cddl1"),
+    ("cecill-2.1", "cecill free software license agreement v2 1", "cecill 2 1", "cecill info licences licence cecill v2 1"),
+    ("cpl-1.0", f"common public license {_V}1 0", "cpl 1 0", "opensource org licenses cpl1 0"),
+    ("ecl-2.0", f"educational community license {_V}2 0", "ecl 2 0", "opensource org licenses ecl 2 0"),
+    ("epl-1.0", f"eclipse public license {_V}1 0", "epl 1 0", "eclipse org legal epl v10"),
+    ("epl-2.0", f"eclipse public license {_V}2 0", "epl 2 0", "eclipse org legal epl 2 0"),
+    ("eupl-1.2", f"european union public licen[cs]e {_V}1 2", "eupl 1 2", "joinup ec europa eu eupl 1 2"),
+    ("gfdl-1.3", f"gnu free documentation license {_V}1 3", "gfdl 1 3", "gnu org licenses fdl 1 3"),
+    ("gpl-1.0", f"gnu general public license {_V}1(?: 0)?", "gpl ?v?1(?: 0)?", "gnu org licenses gpl 1 0"),
+    ("gpl-2.0", f"gnu general public license {_V}2(?: 0)?", "gpl ?v?2(?: 0)?", "gnu org licenses gpl 2 0"),
+    ("gpl-3.0", f"gnu general public license {_V}3(?: 0)?", "gpl ?v?3(?: 0)?", "gnu org licenses gpl 3 0"),
+    ("isc", "(?:internet systems consortium|isc)", "isc", "opensource org licenses isc"),
+    ("lgpl-2.1", f"gnu lesser general public license {_V}2 1", "lgpl ?v?2 1", "gnu org licenses lgpl 2 1"),
+    ("lgpl-3.0", f"gnu lesser general public license {_V}3(?: 0)?", "lgpl ?v?3(?: 0)?", "gnu org licenses lgpl 3 0"),
+    ("lppl-1.3c", f"latex project public license {_V}1 3c", "lppl 1 3c", "latex project org lppl lppl 1 3c"),
+    ("mit", "mit", "expat", "opensource org licenses mit"),
+    ("mit-0", "mit no attribution", "mit 0", "opensource org licenses mit 0"),
+    ("mpl-1.1", f"mozilla public license {_V}1 1", "mpl 1 1", "mozilla org mpl 1 1"),
+    ("mpl-2.0", f"mozilla public license {_V}2 0", "mpl 2 0", "mozilla org mpl 2 0"),
+    ("ms-pl", "microsoft public license", "ms pl", "opensource org licenses ms pl"),
+    ("ncsa", "university of illinois ncsa open source license", "ncsa", "opensource org licenses ncsa"),
+    ("odbl-1.0", f"open data commons open database license {_V}1 0", "odbl 1 0", "opendatacommons org licenses odbl 1 0"),
+    ("ofl-1.1", f"sil open font license {_V}1 1", "ofl 1 1", "scripts sil org ofl"),
+    ("postgresql", "postgresql licen[cs]e", "postgresql", "opensource org licenses postgresql"),
+    ("psf-2.0", f"python software foundation license {_V}2", "psf 2 0", "docs python org license"),
+    ("unlicense", "(?:the )?unlicense", "unlicense", "unlicense org"),
+    ("upl-1.0", f"universal permissive license {_V}1 0", "upl 1 0", "oss oracle com licenses upl"),
+    ("wtfpl", "do what the fuck you want to public license", "wtfpl", "wtfpl net"),
+    ("zlib", "zlib(?: libpng)?", "zlib", "opensource org licenses zlib"),
+    ("zpl-2.1", f"zope public license {_V}2 1", "zpl 2 1", "opensource org licenses zpl 2 1"),
 )
-_GRANT = "(?:licensed|released|distributed|available|published|provided|offered|covered|shared) under (?:the )?(?:terms of )?(?:the )?(?:(?:license )?(?:of )?)?"
+_GRANT = "(?:licensed|released|distributed|available|published|provided|offered|covered|shared) under (?:the |an? )?(?:terms of )?(?:the |an? )?(?:(?:license )?(?:of )?)?"
 _END = "(?: licen[cs]e)?"
 
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, pattern over words, confidence) of every rule, in order.
+#: Words that are no keyword while a spelling has another: they stand in many texts.
+_PLAIN = frozenset("a agreement alike an attribution by clause commercial database derivatives development distribution docs document documentation domain font foundation free general info international legal licence licences license licenses model modified no noderivatives noncommercial of open org original people project public school scripts sharealike simplified software source system systems the to under union universal university v version want what with you".split())
+
+
+def _spellings(pattern: str) -> set[str]:
+    """Every text that a pattern of literals, (?:a|b), [ab] and ? matches."""
+
+    def read(i: int) -> tuple[set[str], int]:
+        done, now = set(), {""}
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                done, now, i = done | now, {""}, i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                part, i = read(i + 3)
+            elif pattern[i] == "[":
+                end = pattern.index("]", i)
+                part, i = set(pattern[i + 1 : end]), end
+            else:
+                part = {pattern[i]}
+            i += 1
+            if i < len(pattern) and pattern[i] == "?":
+                part, i = part | {""}, i + 1
+            now = {a + b for a in now for b in part}
+        return done | now, i
+
+    return read(0)[0]
+
+
+def _keys(*patterns: str) -> tuple[str, ...]:
+    """Words of which every text that one of the patterns matches has one: the longest of each spelling that is not plain."""
+    return tuple(sorted({min(text.split(), key=lambda w: (w in _PLAIN or w.isdigit(), -len(w), w)) for p in patterns for text in _spellings(p)}))
+
+
+def signatures() -> list[tuple[int, str, tuple[str, ...], str, float]]:
+    """(priority, label, keywords, pattern over words, confidence) of every rule, in order; each match has one of the keywords.
 
     Five signatures for each license: identifier tag, grant, address, title and mention.
     """
     out = []
-    for label, key, name, short, address in LICENSES:
+    for label, name, short, address in LICENSES:
         out += [
-            (1, label, "spdx", f" spdx license identifier (?:{short}|{name})(?= )", 1.0),
-            (2, label, "under", f" {_GRANT}(?:{name}|{short}){_END}(?= )", 0.95),
-            (3, label, address.split(" ")[0], f" {address}(?= )", 0.9),
-            (4, label, key, f" (?:{name}) licen[cs]e(?= )| {name}(?= )" if " " in name else f" (?:the )?{name} licen[cs]e(?= )", 0.8),
-            (5, label, key if key not in ("affero", "boost", "mit") else short.split(" ")[0], f" (?:licen[cs]e {short}|{short} licen[cs]e)(?= )", 0.6),
+            (1, label, ("spdx",), f" spdx license identifier (?:{short}|{name})(?= )", 1.0),
+            (2, label, _keys(name, short), f" {_GRANT}(?:{name}|{short}){_END}(?= )", 0.95),
+            (3, label, _keys(address), f" {address}(?= )", 0.9),
+            (4, label, _keys(name), f" (?:{name}) licen[cs]e(?= )| {name}(?= )" if " " in name else f" (?:the )?{name} licen[cs]e(?= )", 0.8),
+            (5, label, _keys(short), f" (?:licen[cs]e {short}|{short} licen[cs]e)(?= )", 0.6),
         ]
     # longer patterns first within a priority: a name with more words is not cut short by one inside it
     return sorted(out, key=lambda r: (r[0], -len(r[3]), r[1]))
 
 
+def rules() -> list[tuple[int, str, str, str, float]]:
+    """The signatures, each once for every keyword: (priority, label, keyword, pattern over words, confidence)."""
+    return [(order, label, key, pattern, sure) for order, label, keys, pattern, sure in signatures() for key in keys]
+
+
 def _keywords() -> list[str]:
-    return sorted({r[2] for r in rules()} - {"under"} | {"license", "licence", "licensed", "cc"})
+    return sorted({key for r in signatures() for key in r[2]} | set(_keys(*(phrase for phrase, _ in BASE_PHRASES))))
 
 
 def _count(text: Column, phrase: str) -> Column:
@@ -115,8 +154,8 @@ _STATE = "struct<text:string,found:array<struct<begin:int,end:int,label:string,c
 
 def _detections(words: Column) -> Column:
     """All matches that stand, as (begin, end, label, confidence): character positions in the text of words."""
-    each = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f" {key} ").alias("key"), F.lit(pattern).alias("pattern"), F.lit(sure).alias("confidence")) for _, label, key, pattern, sure in rules()])
-    chosen = F.filter(each, lambda r: F.contains(words, r["key"]))
+    each = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(f" {key} ") for key in keys]).alias("keys"), F.lit(pattern).alias("pattern"), F.lit(sure).alias("confidence")) for _, label, keys, pattern, sure in signatures()])
+    chosen = F.filter(each, lambda r: F.exists(r["keys"], lambda key: F.contains(words, key)))
 
     def take(state: Column, r: Column) -> Column:
         parts = F.split(F.regexp_replace(state["text"], r["pattern"], F.lit("\u0001$0\u0002")), "\u0001")

@@ -50,6 +50,30 @@ def test_license_rules_against_a_loop(spark):
     assert len(d) == 400 and all(a["end"] <= b["begin"] for a, b in zip(d, d[1:], strict=False))
 
 
+def test_every_spelling_of_a_license_is_found_as_without_any_prefilter(spark):
+    rng = random.Random(8)
+
+    def spelled(pattern, whole):
+        pattern = re.sub(r"\(\?:([^()]*)\)\?", lambda m: rng.choice(m[1].split("|")) if whole else "", pattern)
+        pattern = re.sub(r"\(\?:([^()]*)\)", lambda m: rng.choice(m[1].split("|")), pattern)
+        return re.sub(r"(.)\?", r"\1" if whole else "", re.sub(r"\[cs\]", "c", pattern))
+
+    texts = [("gpl-3.0", "GNU General Public License v3"), ("cc-by-4.0", "Creative Commons Attribution 4.0 International License"), ("gpl-2.0", "license: GPLv2")]
+    for label, *_, name, short, address in L.LICENSES:
+        for whole in (False, True):
+            texts += [(label, f"the {spelled(name, whole)} license"), (label, f"{spelled(short, whole)} license"), (label, f"available under a {spelled(rng.choice([name, short]), whole)}"), (label, f"see {address} there")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in L.scan_licenses(df).collect()}
+    for i, (label, text) in enumerate(texts):
+        joined, spots = f" {' '.join(words(text))} ", set()
+        base = {b for phrase, b in L.BASE_PHRASES if f" {phrase} " in joined}
+        for _, found, _, pattern, _ in L.rules():
+            spots |= {(m.start(), m.end(), found) for m in re.finditer(pattern, joined)}
+            joined = re.sub(pattern, lambda m: re.sub("[^ ]", "\x03", m.group()), joined)
+        assert {(d["begin"], d["end"], d["label"]) for d in got[i]["detections"]} == spots, text
+        assert got[i]["labels"] == ",".join(sorted(base | {s[2] for s in spots})) and label in got[i]["labels"].split(","), text
+
+
 def overlaps(doc, item, least=12, identity=0.75):
     """Whether some diagonal has a run of enough agreeing words: all runs that a seed could start."""
     best = None
