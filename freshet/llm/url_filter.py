@@ -55,7 +55,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
     """(tokens, confidence, support) of token combinations that foretell BAD; `labelled` has tokens array<string> and bad boolean.
 
     A combination needs `min_support` of all rows, and `min_count` bad ones at least.
-    Tokens that are always together in bad rows count as one of them (merge_twins).
+    Tokens that are always together, in good rows as in bad ones, count as one of them (merge_twins).
     Combinations of more than `longest` tokens are pruned, and one is dropped if a part of it
     has the same or a greater confidence. No labelled row, no rule.
     """
@@ -67,7 +67,8 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
     if rows["bad"] < max(1, min_count):
         return empty
     # only combinations with BAD can be rules: mine the bad baskets, then count each combination in all of them
-    bad = merge_twins(baskets.where(F.array_contains("items", BAD)).select("row", F.array_remove("items", BAD).alias("items")))
+    single = merge_twins(baskets.select("row", F.array_remove("items", BAD).alias("items")))
+    bad = single.join(baskets.where(F.array_contains("items", BAD)).select("row"), "row", "left_semi").select("items")
     share = min(1.0, max(min_support * rows["rows"], min_count) / rows["bad"])
     frequent = FPGrowth(itemsCol="items", minSupport=share, minConfidence=1.0).fit(bad).freqItemsets.where(F.size("items") <= longest)
     sets = table(frequent.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")).distinct(), "frequent-sets")
@@ -82,7 +83,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
 
 
 def merge_twins(baskets: DataFrame) -> DataFrame:
-    """(items) of baskets (row, items), with one token, the least, of those that are in the very same baskets.
+    """(row, items) of baskets (row, items), with one token, the least, of those that are in the very same baskets.
 
     A rule with a twin in another's place has the same support and confidence, and one URL
     that is in many baskets would else add two to the power of its tokens to the frequent
@@ -91,7 +92,7 @@ def merge_twins(baskets: DataFrame) -> DataFrame:
     each = baskets.select("row", F.explode("items").alias("token"))
     where = each.groupBy("token").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit("twin"))).alias("b"))
     kept = where.groupBy("many", "a", "b").agg(F.min("token").alias("token")).select("token")
-    return each.join(kept, "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("items")).select("items")
+    return each.join(kept, "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("items"))
 
 
 def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:

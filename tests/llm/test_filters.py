@@ -193,3 +193,11 @@ def test_a_url_of_many_tokens_in_many_rows_makes_few_sets(spark):
     rows = [(tokens, True)] * 300 + [(["a", f"x{i}"], False) for i in range(300)]
     got = U.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
     assert [(r["tokens"], r["confidence"]) for r in got] == [(["part0"], 1.0)]
+
+
+def test_twins_among_bad_rows_that_differ_among_good_ones_are_no_twins(spark):
+    pages = [(i, f"http://h{i}.com/casino/{i}") for i in range(20)] + [(100 + i, f"http://g{i}.com/news/{i}") for i in range(200)] + [(900, "http://new.com/casino/"), (901, "http://new.com/news/")]
+    labels = [(i, 0, 0) for i in range(20)] + [(100 + i, 1, 0) for i in range(200)]
+    out = {r["page_id"]: r for r in U.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert (out[900]["verdict"], out[900]["mined_confidence"]) == ("block", 1.0) and out[901]["verdict"] == "allow"
+    assert all(out[i]["verdict"] == "block" for i in range(20)) and all(out[100 + i]["verdict"] == "allow" for i in range(200))
