@@ -3,7 +3,8 @@
 A mask names the word positions of a window that count; the others may differ. Words of
 test items and training texts are hashed under every mask, equal hashes are joined, and each
 hit is verified on its diagonal: the best run of aligned words around it, where a
-substitution costs more than a match earns.
+substitution costs more than a match earns, and if that one is no overlap, the longest run
+of the whole diagonal that is one.
 
 The test side is dealt into blocks of bounded size (long items are cut into overlapping
 windows first). Each block is sent to the executors, which join it with all texts, so
@@ -51,6 +52,20 @@ def best_run(same: np.ndarray, seed: int) -> tuple[int, int]:
     return begin, end
 
 
+def longest_run(same: np.ndarray, min_words: int, identity: float) -> tuple[int, int] | None:
+    """The run (begin, end) of most matches among all that have `min_words` and the share `identity` of them; the first of equals, none if there is none."""
+    many = np.concatenate(([0], np.cumsum(same)))
+    if many[-1] < min_words:
+        return None
+    over = np.round(many - identity * np.arange(len(many)), 9)  # a run has its share if this does not fall from begin to end
+    begins = np.searchsorted(-np.minimum.accumulate(over), -over, "left")
+    end = int(np.argmax(many - many[begins]))
+    begin = int(begins[end])
+    if many[end] - many[begin] < min_words:
+        return None
+    return begin + int(np.argmax(same[begin:end])), end
+
+
 class TestBlock:
     """Seeds of some test items, sorted, with a filter in front."""
 
@@ -93,10 +108,17 @@ class TestBlock:
                     theirs = self.words[int(self.bound[w]) + begin - shift : int(self.bound[w]) + end - shift]
                     same = words[begin:end] == theirs
                     x, y = best_run(same, p - begin)
-                    known.append((begin + x, max(begin + y, p + 1)))
                     matched = int(same[x:y].sum())
                     if matched >= min_words and matched >= identity * (y - x):
-                        out.append((d, w, matched, y - x, begin + x - int(bound[d]), begin + x - shift))
+                        known.append((begin + x, max(begin + y, p + 1)))
+                    else:
+                        known.append((begin, end))  # nothing on the diagonal is longer than what is found now
+                        run = longest_run(same, min_words, identity)
+                        if run is None:
+                            continue
+                        x, y = run
+                        matched = int(same[x:y].sum())
+                    out.append((d, w, matched, y - x, begin + x - int(bound[d]), begin + x - shift))
         return out
 
 

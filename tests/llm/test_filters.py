@@ -117,6 +117,28 @@ def test_overlaps_against_all_diagonals(spark):
     assert D.find_overlaps(df.limit(0), tests).count() == 0 and D.find_overlaps(df, tests.limit(0)).count() == 0
 
 
+def test_a_run_that_qualifies_is_found_inside_a_longer_one_that_does_not(spark):
+    rng = random.Random(5)
+    for _ in range(300):
+        same = np.array([rng.random() < rng.choice([0.6, 0.75, 0.9]) for _ in range(rng.randint(0, 45))], bool)
+        good = [int(same[a:b].sum()) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a:b].sum() >= max(12, 0.75 * (b - a))]
+        run = D.longest_run(same, 12, 0.75)
+        assert (run is None) == (not good)
+        if run:
+            n = int(same[run[0] : run[1]].sum())
+            assert n == max(good) and n >= 0.75 * (run[1] - run[0])
+    rows, items = [], []
+    for i in range(20):
+        item = [f"x{i}w{k}" for k in range(400)]
+        # 25 % and more substituted; only the first 16 words agree as they should
+        rows.append((i, " ".join(w if k < 16 or k % 10 in (0, 1, 2, 4, 7, 8, 9) else "other" for k, w in enumerate(item))))
+        items.append((i, " ".join(item)))
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched_words"], r["run_words"]) for r in D.find_overlaps(docs, tests).collect()}
+    assert got.keys() == {(i, i) for i in range(20)} and all(m >= 12 and m >= 0.75 * n for m, n in got.values())
+    assert D.decontaminate(docs, tests).count() == 0
+
+
 def test_blocks_and_windows_lose_nothing(spark, monkeypatch):
     rng = random.Random(2)
     long_item = [f"t{rng.randrange(10_000)}" for _ in range(9000)]
