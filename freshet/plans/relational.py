@@ -164,6 +164,15 @@ def graph_hop2_recommend(spark, t):
     return graph.two_hop(edges, t.part.where("p_partkey <= 10").select(F.col("p_partkey").alias("start")))
 
 
+@query("""
+WITH e AS (SELECT DISTINCT l_partkey AS p, l_orderkey AS o FROM lineitem)
+SELECT DISTINCT a.p AS start, b.p AS node FROM e a JOIN e b ON a.o = b.o WHERE a.p <> b.p""")
+def graph_hop2_recommend_all(spark, t):
+    """graph_hop2_recommend from every part."""
+    edges = graph.edge_table(t.lineitem, "l_partkey", "l_orderkey")
+    return graph.two_hop(edges, t.part.select(F.col("p_partkey").alias("start")))
+
+
 @query("SELECT l_suppkey AS entity, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, entity LIMIT 10")
 def graph_docs_per_entity(spark, t):
     return graph.per_entity(t.lineitem.select(F.col("l_partkey").alias("from_id"), F.col("l_suppkey").alias("to_id"))).orderBy(F.desc("n"), "entity").limit(10)
@@ -194,6 +203,13 @@ def graph_edges_distinct(spark, t):
     return graph.edge_table(j, "o_custkey", "l_partkey").select(F.col("from_id").alias("customer"), F.col("to_id").alias("part"))
 
 
+@query("SELECT DISTINCT o_custkey AS customer, l_partkey AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IS NOT NULL AND l_partkey IS NOT NULL")
+def graph_edges_distinct_all(spark, t):
+    """graph_edges_distinct of every customer."""
+    j = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    return graph.edge_table(j, "o_custkey", "l_partkey").select(F.col("from_id").alias("customer"), F.col("to_id").alias("part"))
+
+
 @query("""
 SELECT n_name AS project, count(*) AS files, list_sort(list(c_name))[1:3] AS first_names FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def project_summary(spark, t):

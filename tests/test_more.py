@@ -117,3 +117,16 @@ def test_every_query_has_a_name_and_most_have_sql():
 
     found, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(found) and len(found) > 60 and len(sql) > 55
+
+
+def test_graph_queries_cover_whole_tables(spark, tmp_path):
+    from freshet.plans import catalog
+
+    orders, lines = [(i, 40 + i % 30) for i in range(60)], [(i, (i * k) % 35 + 1) for i in range(60) for k in (1, 3, 7)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(1, 40)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect()))
+    customer = dict(orders)
+    assert run("graph_edges_distinct_all") == sorted({(customer[o], p) for o, p in lines})
+    assert run("graph_hop2_recommend_all") == sorted({(p, q) for o, p in lines for u, q in lines if o == u and p != q})
