@@ -1,16 +1,16 @@
 """Counts of subword tokens, by merging symbol arrays in step of rank (operator 9).
 
-Texts are cut at white space, which no token of this vocabulary crosses; the distinct
-pieces of a batch go through normaliser and pre-tokeniser, and the distinct pre-tokens
-that no earlier batch has seen are held together as one ragged array of symbol ids. In
-each round every pre-token merges its own lowest-ranked pair, all pre-tokens at once;
-what is left when nothing can merge is counted.
+Texts are cut at white space, which no token of this vocabulary crosses. The distinct
+pieces of a batch that no earlier batch has seen go through the vocabulary's own normaliser
+and pre-tokeniser, as the `tokenizers` library has them; their distinct pre-tokens are held
+together as one ragged array of symbol ids. In each round every pre-token merges its own
+lowest-ranked pair, all pre-tokens at once; what is left when nothing can merge is counted.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from freshet.llm.textkit import by_bytes, tidy
 
 BATCH_SYMBOLS = 1 << 20
-KNOWN_WORDS = 400_000  # pre-tokens remembered between batches; more start the memory anew
+KNOWN_WORDS = 200_000  # pieces, and pre-tokens, remembered between batches; more start the memory anew
+LONG_PIECE = 64  # characters; longer pieces are counted anew each time
 _NONE = np.int64(1 << 60)
+_SPACE = re.compile(r"\s")
 
 
 def byte_symbols() -> list[str]:
@@ -35,23 +37,23 @@ def byte_symbols() -> list[str]:
 
 
 class RankMerger:
-    """Merge rules of a byte-pair vocabulary file with normaliser, splitting pattern and word ends."""
+    """Merge rules of a byte-pair vocabulary file, behind the library's normaliser and pre-tokeniser."""
 
     def __init__(self, path: str):
-        import regex
+        from tokenizers import Tokenizer
 
+        tool = Tokenizer.from_file(path)
+        self._normal, self._pre = tool.normalizer, tool.pre_tokenizer
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
         vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        steps = spec["pre_tokenizer"]["pretokenizers"]
-        self._split = regex.compile(next(s for s in steps if s["type"] == "Split")["pattern"]["Regex"] + "| ")  # and the gap between two pieces
+        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self._special = re.compile("|".join(map(re.escape, special))) if special else None
         suffix = model["end_of_word_suffix"] or ""
-        chars = byte_symbols()
-        self._inner = np.array([vocab[c] for c in chars], np.int64)
-        self._last = np.array([vocab[c + suffix] for c in chars], np.int64)
+        self._inner, self._last = np.zeros(512, np.int64), np.zeros(512, np.int64)  # by the character that stands for a byte
+        for c in byte_symbols():
+            self._inner[ord(c)], self._last[ord(c)] = vocab[c], vocab[c + suffix]
         self._size = len(vocab) + 1
         pairs = np.array([[vocab[a], vocab[b]] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
@@ -66,24 +68,39 @@ class RankMerger:
         if (np.maximum(first[pairs[:, 0]], first[pairs[:, 1]]) >= np.arange(len(pairs))).any():
             raise ValueError("a merge comes before the one that makes its part")
         self._words: dict[str, int] = {}
+        self._pieces: dict[str, int] = {}
 
     def forget(self) -> None:
         """Drops what was remembered: the worker may go on to other work."""
-        self._words = {}
-
-    def normal(self, text: str) -> str:
-        """NFC and lower case; as in the vocabulary's own lower-casing, no rule looks at neighbours."""
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        self._words, self._pieces = {}, {}
+
+    def pre_tokens(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Pre-tokens of texts, none of which has a special string, and whose they are; a character stands for each byte."""
+        plain = [i for i, t in enumerate(texts) if t and not _SPACE.search(t)]
+        joined = self._normal.normalize_str(" ".join([texts[i] for i in plain]))
+        gaps = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
+        if len(gaps) != max(0, len(plain) - 1):  # white space of another kind: each text by itself
+            plain, joined, gaps = [], "", gaps[:0]
+        words, owner = [], np.zeros(0, np.int64)
+        if plain:
+            found = self._pre.pre_tokenize_str(joined)
+            words = [w for w, _ in found]
+            starts = np.fromiter((at for _, (at, _) in found), np.int64, len(found))
+            owner = np.array(plain, np.int64)[np.searchsorted(gaps, starts)]
+        for i in sorted({i for i, t in enumerate(texts) if t} - set(plain)):
+            own = [w for w, _ in self._pre.pre_tokenize_str(self._normal.normalize_str(texts[i]))]
+            words += own
+            owner = np.append(owner, np.full(len(own), i))
+        return words, owner
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
-        data = [w.encode() for w in words]
         out = np.zeros(len(words), np.int64)
-        sizes = np.array([len(d) for d in data], np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         at = 0
         while at < len(words):
             to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_SYMBOLS, "right")) + at)
-            out[at:to] = self._merge(np.frombuffer(b"".join(data[at:to]), np.uint8), sizes[at:to])
+            out[at:to] = self._merge(np.frombuffer("".join(words[at:to]).encode("utf-32-le"), np.uint32), sizes[at:to])
             at = to
         return out
 
@@ -127,53 +144,34 @@ class RankMerger:
     def word_counts(self, words: list[str]) -> np.ndarray:
         """Tokens of distinct pre-tokens, most of which earlier batches have seen."""
         known = self._words
-        if len(known) + len(words) > KNOWN_WORDS:
-            known.clear()
         fresh = [w for w in words if w not in known]
         known.update(zip(fresh, self.counts(fresh).tolist(), strict=True))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        return out
 
     def piece_counts(self, pieces: list[str]) -> np.ndarray:
-        """Tokens of each text without white space."""
-        joined = " ".join(pieces)
-        if self._special and self._special.search(joined):
-            cut = {i: self._special.split(p) for i, p in enumerate(pieces) if self._special.search(p)}
-            rest = iter(self.piece_counts([s for ss in cut.values() for s in ss]).tolist())
-            extra = {i: len(ss) - 1 + sum(next(rest) for _ in ss) for i, ss in cut.items()}
-            out = self.piece_counts(["" if i in cut else p for i, p in enumerate(pieces)])
-            for i, n in extra.items():
-                out[i] = n
-            return out
-        tokens = pa.array(self._split.findall(self.normal(joined)), pa.string()).dictionary_encode()
-        words, at = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
-        gap = words.index(" ") if " " in words else -1
-        each = self.word_counts(words)
-        total = np.concatenate(([0], np.cumsum(np.where(at == gap, 0, each[at]) if len(at) else at)))
-        ends = np.append(np.flatnonzero(at == gap), len(at))
-        return np.diff(np.concatenate(([0], total[ends]))) if pieces else np.zeros(0, np.int64)
-
-    def pre_token_ids(self, pieces: list[str], word_ids, whole_ids) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each piece as a ragged array, from word_ids(distinct pre-tokens) and, for pieces with special strings, whole_ids(pieces).
-
-        Both give the ids of a text as bytes, four for each.
-        """
-        joined = " ".join(pieces)
-        if self._special and self._special.search(joined):
-            odd = {i: p for i, p in enumerate(pieces) if self._special.search(p)}
-            values, bound = self.pre_token_ids(["" if i in odd else p for i, p in enumerate(pieces)], word_ids, whole_ids)
-            each = np.split(values, bound[1:-1])
-            for i, ids in zip(odd, whole_ids(list(odd.values())), strict=True):
-                each[i] = np.frombuffer(ids, np.uint32)
-            return np.concatenate(each), np.concatenate(([0], np.cumsum([len(e) for e in each])))
-        tokens = pa.array(self._split.findall(self.normal(joined)), pa.string()).dictionary_encode()
-        words, at = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
-        gap = words.index(" ") if " " in words else -1
-        ids = word_ids(words)
-        if gap >= 0:
-            ids[gap] = b""
-        bound = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)))
-        values, out = ragged_take(np.frombuffer(b"".join(ids), np.uint32), bound, at)
-        return values, np.concatenate(([0], out[np.append(np.flatnonzero(at == gap), len(at))])) if pieces else np.zeros(1, np.int64)
+        """Tokens of each text; special strings in it are one each."""
+        known = self._pieces
+        fresh = [i for i, p in enumerate(pieces) if p not in known]
+        parts, owner = [pieces[i] for i in fresh], np.arange(len(fresh))
+        total = np.zeros(len(fresh), np.int64)
+        if self._special and self._special.search(" ".join(parts)):
+            cut = [self._special.split(p) for p in parts]
+            total += np.fromiter(map(len, cut), np.int64, len(cut)) - 1
+            parts, owner = [x for c in cut for x in c], np.repeat(owner, total + 1)
+        words, of = self.pre_tokens(parts)
+        if words:
+            coded = pa.array(words, pa.string()).dictionary_encode()
+            each = self.word_counts(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            total += np.bincount(owner[of], each, len(fresh)).astype(np.int64)
+        new = dict(zip([pieces[i] for i in fresh], total.tolist(), strict=True))
+        out = np.fromiter((new[p] if p in new else known[p] for p in pieces), np.int64, len(pieces))
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        known.update((p, n) for p, n in new.items() if len(p) <= LONG_PIECE)
+        return out
 
 
 def ragged_take(values: np.ndarray, bound: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

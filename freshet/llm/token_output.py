@@ -31,15 +31,20 @@ from pyspark.sql import functions as F
 
 from freshet.llm.runtime import new_folder, open_fs, partitions, table
 from freshet.llm.textkit import by_bytes, tidy
-from freshet.llm.token_count import merger, pieces_of, ragged_take
+from freshet.llm.token_count import pieces_of, ragged_take
 
 _SKIP, _END = b"\x5e\x2a\x4d\x18", b"\xb1\xea\x92\x8f"
 _INDEX = "id long, file string, frame_at long, frame_bytes long, frame long, n_tokens long, before long, part int"
-KNOWN_WORDS = 350_000  # words remembered between batches; more start the memory anew
+KNOWN_PIECES = 300_000  # remembered between batches; more start the memory anew
+LONG_PIECE = 64  # characters; longer pieces are encoded anew each time
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which sees each distinct word once."""
+    """Ids of texts by the tokenizers library, unchanged.
+
+    A vocabulary that drops white space gives the same ids for a text and for its pieces
+    between white space: then the library sees each distinct piece once, else whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,42 +52,42 @@ class Encoder:
         self._tool = Tokenizer.from_file(path)
         self.width = 2 if self._tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        # a vocabulary that drops white space gives the same ids for a text and for its words
-        self._rules = merger(path) if steps and steps[0].get("behavior") == "Removed" and steps[0].get("invert") else None
-        # a word that is split and normalised already
-        plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
-        self._word_tool = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": plain})) if self._rules else self._tool
+            steps = (json.load(file).get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self._by_piece = bool(steps) and steps[0].get("behavior") == "Removed" and steps[0].get("invert", False)
         self._known: dict[str, bytes] = {}
 
     def forget(self) -> None:
         """Drops what was remembered: the worker may go on to other work."""
         self._known = {}
 
-    @staticmethod
-    def _encode(tool, texts: list[str]) -> list[bytes]:
-        each = [e.ids for e in tool.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        each = [e.ids for e in self._tool.encode_batch_fast(texts, add_special_tokens=False)]
         bound = [0, *accumulate(map(len, each))]
         raw = np.fromiter(chain.from_iterable(each), np.uint32, bound[-1]).tobytes()
         return [raw[4 * a : 4 * b] for a, b in pairwise(bound)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
         known = self._known
-        if len(known) + len(words) > KNOWN_WORDS:
+        fresh = [p for p in pieces if p not in known]
+        new = dict(zip(fresh, self._encode(fresh), strict=True))
+        out = [new[p] if p in new else known[p] for p in pieces]
+        if len(known) > KNOWN_PIECES:
             known.clear()
-        fresh = [w for w in words if w not in known]
-        known.update(zip(fresh, self._encode(self._word_tool, fresh), strict=True))
-        return [known[w] for w in words]
+        known.update((p, ids) for p, ids in new.items() if len(p) <= LONG_PIECE)
+        return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the documents' bounds in them."""
-        whole = lambda some: self._encode(self._tool, some)
-        if self._rules is None:
-            each = whole(texts.to_pylist())
-            return np.frombuffer(b"".join(each), np.uint32), np.concatenate(([0], np.cumsum([len(e) // 4 for e in each]))).astype(np.int64)
-        pieces, at, bound = pieces_of(texts)
-        values, out = ragged_take(*self._rules.pre_token_ids(pieces, self._words, whole), at)
+        if self._by_piece:
+            pieces, at, bound = pieces_of(texts)
+            each = self._of_pieces(pieces)
+        else:
+            each = self._encode(texts.to_pylist())
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4)))
+        values = np.frombuffer(b"".join(each), np.uint32)
+        if not self._by_piece:
+            return values, ends
+        values, out = ragged_take(values, ends, at)
         return values, out[bound]
 
 

@@ -37,6 +37,28 @@ def test_counts_are_the_librarys(spark):
     assert token_count.token_counts(df.limit(0), PATH).count() == 0
 
 
+def test_all_code_points_are_as_the_library_has_them():
+    points = [c for c in (*range(0x20000), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    tool, merger, encoder = library(), token_count.RankMerger(PATH), token_output.Encoder(PATH)
+    for form in ("{0} a{0}B1", "information{0}information"):
+        for lo in range(0, len(points), 40_000):
+            ts = [form.format(chr(c)) for c in points[lo : lo + 40_000]]
+            want = [e.ids for e in tool.encode_batch_fast(ts, add_special_tokens=False)]
+            values, bound = encoder.ids(pa.array(ts))
+            assert [values[a:b].tolist() for a, b in zip(bound, bound[1:], strict=False)] == want
+            pieces, at, ends = token_count.pieces_of(pa.array(ts))
+            total = np.concatenate(([0], np.cumsum(merger.piece_counts(pieces)[at])))
+            assert (total[ends[1:]] - total[ends[:-1]]).tolist() == [len(w) for w in want]
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    ts = ["".join(f"w{i % 977}x{i} " for i in range(200_000)), "z" * 100_000, "a\u3000b\x0bc " * 20_000]
+    df = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").selectExpr("doc_id", "text", "1 as id", "2 as part", "3 as n_tokens", "4 as file")
+    want = [len(e.ids) for e in library().encode_batch(ts, add_special_tokens=False)]
+    assert [r["n_tokens"] for r in token_count.token_counts(df, PATH).orderBy("doc_id").collect()] == want
+    assert [r["n_tokens"] - 1 for r in token_output.token_output(df, PATH, 2).orderBy("doc_id").collect()] == want
+
+
 def test_memory_of_words_may_start_anew(monkeypatch):
     monkeypatch.setattr(token_count, "KNOWN_WORDS", 3)
     tool = token_count.RankMerger(PATH)
