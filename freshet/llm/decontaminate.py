@@ -1,14 +1,15 @@
 """Benchmark passages in training texts, by spaced seeds (operator 10).
 
 A mask names the word positions of a window that count; the others may differ. Words of
-test items and training texts are hashed under every mask, equal hashes are joined, and each
-hit is verified on its diagonal: the best run of aligned words around it, where a
-substitution costs more than a match earns, and if that one is no overlap, the longest run
-of the whole diagonal that is one.
-
-The test side is dealt into blocks of bounded size (long items are cut into overlapping
-windows first). Each block is sent to the executors, which join it with all texts, so
-neither side is shuffled and a test set of any size is held whole, block by block.
+test items and training texts are hashed under every mask, equal hashes are joined, and the
+hits of a document and an item are grouped by diagonal (how far one is shifted against the
+other). Each diagonal is verified once, over its whole length: the run of greatest score,
+where a substitution costs more than a match earns, and if that one is no overlap, the run
+of most agreeing words that is one.
+
+The test side is dealt into blocks of whole items. Each block is sent to the executors,
+which join it with all texts, so neither side is shuffled and a test set of any size is
+held whole, block by block.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import textkit
+from freshet.llm.runtime import table
 
 #: Positions that count: fixed values.
 MASKS = ("1110100111", "1101011011", "11001110101", "1011110011")
-BLOCK_WORDS = 400_000
-WINDOW, STEP = 4_096, 3_968  # words of a window of a long item, and from one to the next
+BLOCK_WORDS = 400_000  # of test items held at once (a longer item is a block of its own)
+PAIRS = 1 << 18  # hits listed one by one; where equal seeds make more, their diagonals come from a convolution
 _FILTER_BITS = 24
 PART_BYTES = 3 << 20  # of text, hashed at once
 _MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(max(map(len, MASKS)))], np.uint64)
@@ -42,14 +44,13 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return textkit.mix(out ^ np.uint64(MASKS.index(mask) + 1))
 
 
-def best_run(same: np.ndarray, seed: int) -> tuple[int, int]:
-    """The run around position `seed` (begin, end) of greatest score: 1 a match, -2 a substitution."""
-    gain = np.where(same, 1.0, -_PENALTY)
-    right = np.cumsum(gain[seed:])
-    left = np.cumsum(gain[:seed][::-1])
-    end = seed + (int(np.argmax(right)) + 1 if len(right) else 0)
-    begin = seed - (int(np.argmax(left)) + 1 if len(left) and left.max() > 0 else 0)
-    return begin, end
+def best_run(same: np.ndarray) -> tuple[int, int]:
+    """The run (begin, end) of greatest score, 1 a match, -2 a substitution; the first of equals, the longest from its begin."""
+    total = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -_PENALTY))))
+    low = np.minimum.accumulate(total)
+    gain = total - low
+    end = int(np.argmax(gain))
+    return int(np.argmax(total[: end + 1] == low[end])), end
 
 
 def longest_run(same: np.ndarray, min_words: int, identity: float) -> tuple[int, int] | None:
@@ -66,13 +67,32 @@ def longest_run(same: np.ndarray, min_words: int, identity: float) -> tuple[int,
     return begin + int(np.argmax(same[begin:end])), end
 
 
+def best_overlap(same: np.ndarray, min_words: int, identity: float) -> tuple[int, int] | None:
+    """The run (begin, end) that a diagonal counts with: best_run if it is an overlap, else longest_run."""
+    x, y = best_run(same)
+    matched = int(same[x:y].sum())
+    return (x, y) if matched >= min_words and matched >= identity * (y - x) else longest_run(same, min_words, identity)
+
+
+def shifts(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """All distinct differences of a position of `mine` and one of `theirs`, in time far below their product where that is great."""
+    if len(mine) * len(theirs) <= PAIRS:
+        return np.unique(mine[:, None] - theirs[None, :])
+    low, high = int(mine.min()), int(theirs.max())
+    a, b = mine - low, high - theirs
+    size = 1 << int(a.max() + b.max() + 1).bit_length()
+    x, y = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    x[a], y[b] = 1, 1
+    return np.flatnonzero(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size) > 0.5) + low - high
+
+
 class TestBlock:
     """Seeds of some test items, sorted, with a filter in front."""
 
     __test__ = False
 
-    def __init__(self, items: list, starts: list[int], words: list[np.ndarray]):
-        self.items, self.starts = items, starts
+    def __init__(self, items: list, words: list[np.ndarray]):
+        self.items = items
         self.bound = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
         self.words = np.concatenate([np.zeros(0, np.uint64), *words])
         self.index = []
@@ -85,10 +105,9 @@ class TestBlock:
             gate[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
             self.index.append((h[order], at[order], np.packbits(gate)))
 
-    def overlaps(self, words: np.ndarray, bound: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, int, int]]:
-        """(document, window, matched words, words of the run, first word in the document, in the window)."""
-        out: list[tuple[int, int, int, int, int, int]] = []
-        runs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # of each diagonal, what is verified already
+    def _hits(self, words: np.ndarray, bound: np.ndarray) -> dict[tuple[int, int], list[np.ndarray]]:
+        """By document and item, the diagonals on which a seed of both is equal (each with repetitions)."""
+        out: dict[tuple[int, int], list[np.ndarray]] = {}
         for mask, (h, at, gate) in zip(MASKS, self.index, strict=True):
             mine = seeds(words, mask)
             slot = (mine >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
@@ -96,55 +115,72 @@ class TestBlock:
             docs = np.searchsorted(bound, spots, "right") - 1
             inside = spots + len(mask) <= bound[docs + 1]
             spots, docs = spots[inside], docs[inside]
-            lo, hi = np.searchsorted(h, mine[spots], "left"), np.searchsorted(h, mine[spots], "right")
-            for p, d, a, b in zip(spots[hi > lo].tolist(), docs[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for q in at[a:b].tolist():
-                    w = int(np.searchsorted(self.bound, q, "right")) - 1
-                    shift = p - (q - int(self.bound[w]))  # where the window would begin
-                    known = runs.setdefault((d, w, shift), [])
-                    if any(x <= p < y for x, y in known):
-                        continue
-                    begin, end = max(shift, int(bound[d])), min(shift + int(self.bound[w + 1] - self.bound[w]), int(bound[d + 1]))
-                    theirs = self.words[int(self.bound[w]) + begin - shift : int(self.bound[w]) + end - shift]
-                    same = words[begin:end] == theirs
-                    x, y = best_run(same, p - begin)
-                    matched = int(same[x:y].sum())
-                    if matched >= min_words and matched >= identity * (y - x):
-                        known.append((begin + x, max(begin + y, p + 1)))
-                    else:
-                        known.append((begin, end))  # nothing on the diagonal is longer than what is found now
-                        run = longest_run(same, min_words, identity)
-                        if run is None:
-                            continue
-                        x, y = run
-                        matched = int(same[x:y].sum())
-                    out.append((d, w, matched, y - x, begin + x - int(bound[d]), begin + x - shift))
+            lo = np.searchsorted(h, mine[spots], "left")
+            hit = lo < len(h)
+            hit[hit] = h[lo[hit]] == mine[spots[hit]]
+            spots, docs, lo = spots[hit], docs[hit], lo[hit]
+            # equal seeds of one document stand together: group by (document, seed)
+            order = np.lexsort((spots, lo, docs))
+            spots, docs, lo = spots[order], docs[order], lo[order]
+            cuts = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (lo[1:] != lo[:-1])))) if len(spots) else np.zeros(0, np.int64)
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(spots)], strict=True) if len(cuts) else ():
+                d, first = int(docs[i]), int(lo[i])
+                places = at[first : int(np.searchsorted(h, h[first], "right"))]
+                owner = np.searchsorted(self.bound, places, "right") - 1
+                for w in np.unique(owner).tolist():
+                    own = places[owner == w] - self.bound[w]
+                    out.setdefault((d, w), []).append(shifts(spots[i:j] - bound[d], own))
+        return out
+
+    def overlaps(self, words: np.ndarray, bound: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, int, int]]:
+        """The overlap of most agreeing words of each document and item that have one: (document, item, agreeing words, words of the run, first word in the document, in the item).
+
+        Diagonals are verified from the one with most room to that with least, until none has room for more words than were found.
+        """
+        out = []
+        for (d, w), each in sorted(self._hits(words, bound).items()):
+            mine, theirs = words[bound[d] : bound[d + 1]], self.words[self.bound[w] : self.bound[w + 1]]
+            shift = np.unique(np.concatenate(each))
+            room = np.minimum(shift + len(theirs), len(mine)) - np.maximum(shift, 0)
+            best: tuple[int, int, int, int] | None = None
+            for k in np.lexsort((np.maximum(-shift, 0), np.maximum(shift, 0), -room)).tolist():
+                s, size = int(shift[k]), int(room[k])
+                if size < min_words or (best and (size < best[0] or (size == best[0] == -best[1]))):
+                    break
+                a, b = max(s, 0), max(-s, 0)
+                same = mine[a : a + size] == theirs[b : b + size]
+                if np.count_nonzero(same) < max(min_words, best[0] if best else 0):
+                    continue
+                run = best_overlap(same, min_words, identity)
+                if run is None:
+                    continue
+                x, y = run
+                mark = (int(same[x:y].sum()), x - y, -(a + x), -(b + x))
+                best = mark if best is None else max(best, mark)
+            if best:
+                out.append((d, w, best[0], -best[1], -best[2], -best[3]))
         return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in textkit.by_bytes(whole, PART_BYTES):
             words, bound = textkit.word_hashes(batch.column(1))
-            items, starts, parts = [], [], []
-            for i, item in enumerate(batch.column(0).to_pylist()):
-                own = words[bound[i] : bound[i + 1]].view(np.int64)
-                for at in range(0, max(1, len(own) - (WINDOW - STEP)), STEP):
-                    items.append(item)
-                    starts.append(at)
-                    parts.append(own[at : at + WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(items, batch.column(0).type), pa.array(starts, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["item", "at", "words"])
+            parts = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(words.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), parts], ["item", "words"])
 
 
 def test_blocks(tests: DataFrame, item_col: str = "item_id", text_col: str = "text", min_words: int = 12) -> Iterator[TestBlock]:
-    """The test items in blocks of about BLOCK_WORDS words; items of fewer than `min_words` words tell nothing and are left out."""
+    """The test items, whole, in blocks of about BLOCK_WORDS words; items of fewer than `min_words` words tell nothing and are left out."""
     own = tests.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    windows = own.mapInArrow(_windows, f"item {own.schema['item'].dataType.simpleString()}, at long, words array<long>").where(F.size("words") >= min_words)
-    total = windows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    blocks = -(-int(total) // BLOCK_WORDS)
+    hashed = own.mapInArrow(textkit.tidy(_hashed), f"item {own.schema['item'].dataType.simpleString()}, words array<long>").where(F.size("words") >= min_words)
+    total = int(hashed.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0])
+    blocks = -(-total // BLOCK_WORDS)
+    if blocks > 1:
+        hashed = table(hashed, "test-items")
     for b in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("item", "at", "words"), F.lit(blocks)) == b).orderBy("item", "at").toArrow()
-        yield TestBlock(rows["item"].to_pylist(), rows["at"].to_pylist(), [w.values.to_numpy().view(np.uint64) for w in rows["words"]])
+        rows = hashed.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).orderBy("item", "words").toArrow()
+        yield TestBlock(rows["item"].to_pylist(), [w.values.to_numpy().view(np.uint64) for w in rows["words"]])
 
 
 test_blocks.__test__ = False
@@ -159,7 +195,7 @@ def _finder(block, min_words: int, identity: float, kind: pa.DataType):
                 found = tests.overlaps(words, bound, min_words, identity)
                 rows = np.array(found, np.int64).reshape(-1, 6)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows[:, 0])), pa.array([tests.items[w] for w in rows[:, 1]], kind), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(rows[:, 4]), pa.array(rows[:, 5] + np.array([tests.starts[w] for w in rows[:, 1]], np.int64))],
+                    [batch.column(0).take(pa.array(rows[:, 0])), pa.array([tests.items[w] for w in rows[:, 1]], kind), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(rows[:, 4]), pa.array(rows[:, 5])],
                     ["id", "item", "matched", "run", "doc_at", "item_at"],
                 )
 
@@ -170,8 +206,10 @@ def find_overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", tex
     """(id, item, matched_words, run_words, doc_word, item_word): the longest overlap of each document and test item that have one.
 
     An overlap is a run of aligned words of which at least `min_words` agree and at least the
-    share `identity`; words are compared in lower case without punctuation. Null texts have
-    none. Rows that share an id (null too) are reported together; other columns are ignored.
+    share `identity`; words are compared in lower case without punctuation. Of equally many
+    agreeing words the shorter run counts, then the first in the document, then in the item.
+    Null and empty texts, and those without a seed in common, have none. Items that share an
+    id are reported together. Rows that share an id (null too) are reported together; other columns are ignored.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -75,20 +75,20 @@ def test_every_spelling_of_a_license_is_found_as_without_any_prefilter(spark):
 
 
 def overlaps(doc, item, least=12, identity=0.75):
-    """Whether some diagonal has a run of enough agreeing words: all runs that a seed could start."""
+    """Agreeing words of the best overlap of all diagonals that have a seed."""
     best = None
     for shift in range(-len(item) + 1, len(doc)):
-        same = [0 <= shift + j < len(doc) and doc[shift + j] == item[j] for j in range(len(item))]
         inside = [j for j in range(len(item)) if 0 <= shift + j < len(doc)]
-        for mask in D.MASKS:
-            care = [k for k, c in enumerate(mask) if c == "1"]
-            for j in range(len(item) - len(mask) + 1):
-                if j in inside and j + len(mask) - 1 in inside and all(same[j + k] for k in care):
-                    run = np.array([same[x] for x in inside])
-                    a, b = D.best_run(run, j - inside[0])
-                    n = int(run[a:b].sum())
-                    if n >= least and n >= identity * (b - a):
-                        best = max(best or 0, n)
+        same = np.array([doc[shift + j] == item[j] for j in inside], bool)
+        care = [[k for k, c in enumerate(mask) if c == "1"] for mask in D.MASKS]
+        if not any(all(same[j + k] for k in ks) for mask, ks in zip(D.MASKS, care, strict=True) for j in range(len(same) - len(mask) + 1)):
+            continue
+        runs = [(int(same[a:b].sum()) * 3 - 2 * (b - a), -a, b, int(same[a:b].sum())) for a in range(len(same)) for b in range(a + 1, len(same) + 1)]
+        top = max(runs)[0]
+        _, a, b, n = min((r for r in runs if r[0] == top), key=lambda r: (r[2], -r[1]))
+        if n < least or n < identity * (b + a):
+            n = max((r[3] for r in runs if r[3] >= least and r[3] >= identity * (r[2] + r[1])), default=0)
+        best = max(best or 0, n) or None
     return best
 
 
@@ -139,7 +139,23 @@ def test_a_run_that_qualifies_is_found_inside_a_longer_one_that_does_not(spark):
     assert D.decontaminate(docs, tests).count() == 0
 
 
-def test_blocks_and_windows_lose_nothing(spark, monkeypatch):
+def test_repeated_words_and_long_items_take_no_square_of_time(spark):
+    import time
+
+    rng = random.Random(12)
+    long_item = " ".join(f"t{rng.randrange(10_000)}" for _ in range(20_000))
+    docs = [(0, "same " * 50_000), (1, "one two three four five six seven " * 6_000), (2, f"before {long_item} after"), (3, None), (3, "same " * 12)]
+    items = [(0, "same " * 3_000), (1, "one two three four five six seven " * 400), (2, long_item), (2, "same " * 11 + "end")]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string").withColumn("id", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string")
+    began = time.time()
+    got = {(r["doc_id"], r["item_id"]): (r["matched_words"], r["run_words"], r["doc_word"], r["item_word"]) for r in D.find_overlaps(d, t).collect()}
+    assert got == {(0, 0): (3000, 3000, 0, 0), (1, 1): (2800, 2800, 0, 0), (2, 2): (20_000, 20_000, 1, 0), (3, 0): (12, 12, 0, 0)}
+    assert time.time() - began < 60
+    for a, b in ((np.arange(3000), np.arange(2000)), (np.arange(0, 9000, 7), np.arange(3, 2000, 7)), (np.array([5]), np.array([7]))):
+        assert D.shifts(a, b).tolist() == sorted({int(x - y) for x in a for y in b})
+
+
+def test_blocks_lose_nothing(spark, monkeypatch):
     rng = random.Random(2)
     long_item = [f"t{rng.randrange(10_000)}" for _ in range(9000)]
     tests = spark.createDataFrame([(1, " ".join(long_item)), (2, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id int, text string")
