@@ -3,7 +3,8 @@
 Each domain has a mean repetition rate: its target share of all bytes over its own share.
 A document's count is the inverse of the Poisson distribution with that mean, at a uniform
 number hashed from a seed and its id; the document is repeated that often, and all copies
-are brought into one global random order.
+are brought into one global random order: they are dealt by ranges of a hash, and counted
+within them.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.runtime import table
+from freshet.llm.runtime import partitions, table
 
 _TWO52 = float(1 << 52)
+BUCKET_BYTES = 64 << 20  # of text, about, in a bucket of the random order
+MOST_DIGITS = 5  # 1,048,576 buckets at most: their counts are sent to all tasks
 
 
 def uniform(seed: str, *keys: Column) -> Column:
@@ -56,10 +59,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", domain_col: str = "source", tex
 
     Documents may get no copy. Null ids count as empty text for the draw, a null domain is a
     domain of its own. Rows repeated under one id are drawn alike; their order among
-    themselves follows a hash of the text. A column of `docs` that has the name of an added
-    one is replaced. An empty table stays empty.
+    themselves follows a hash of all columns that have one (maps do not). A column of `docs`
+    that has the name of an added one is replaced. Partitions hold ranges of positions, in
+    order. An empty table stays empty.
     """
-    rates = table(domain_rates(docs, domain_col, text_col, weights, exponent, epochs), "rates").select(F.col("domain").alias("__domain"), F.col("cdf").alias("__cdf"))
+    known = table(domain_rates(docs, domain_col, text_col, weights, exponent, epochs), "rates")
+    rates = known.select(F.col("domain").alias("__domain"), F.col("cdf").alias("__cdf"))
+    size = known.agg(F.coalesce(F.sum(F.col("bytes") * F.col("rate")), F.lit(0.0))).first()[0]
+    digits = 3
+    while 16**digits * BUCKET_BYTES < size and digits < MOST_DIGITS:
+        digits += 1
     own = docs.drop("copy", "copies", "position")
     key = F.col(f"`{id_col}`")
     joined = own.join(rates, F.col(f"`{domain_col}`").eqNullSafe(F.col("__domain")))
@@ -67,9 +76,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", domain_col: str = "source", tex
     counted = joined.withColumn("copies", F.size(F.filter("__cdf", lambda c: c <= draw)).cast("long")).drop("__domain", "__cdf").where("copies > 0")
     many = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     order = F.md5(F.concat_ws(":", F.lit(seed + " order"), F.coalesce(key.cast("string"), F.lit("")), F.col("copy").cast("string")))
-    many = many.withColumn("__order", order).withColumn("__bucket", F.substring("__order", 1, 3))
-    # 4,096 buckets of the order; a row's place is what stands in earlier buckets and before it in its own
+    # buckets of the order; a row's place is what stands in earlier buckets and before it in its own
+    many = many.withColumn("__order", order).withColumn("__bucket", F.substring("__order", 1, digits))
     sizes = many.groupBy("__bucket").agg(F.count("*").alias("n"))
     before = sizes.select("__bucket", (F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).alias("__before"))
-    placed = many.withColumn("__row", F.row_number().over(Window.partitionBy("__bucket").orderBy("__order", key, "copy", F.xxhash64(F.col(f"`{text_col}`")))))
+    plain = [F.col(f"`{f.name}`") for f in own.schema if "map" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    ties = Window.partitionBy("__bucket").orderBy("__order", key, "copy", F.xxhash64(*plain))
+    placed = many.repartitionByRange(partitions(docs.sparkSession), "__bucket").withColumn("__row", F.row_number().over(ties))
     return placed.join(F.broadcast(before), "__bucket").withColumn("position", F.col("__before") + F.col("__row") - 1).drop("__order", "__bucket", "__before", "__row")

@@ -26,7 +26,7 @@ from itertools import accumulate, chain, pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.runtime import new_folder, open_fs, partitions, table
@@ -207,28 +207,31 @@ def _checker(folder: str):
     return check
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, order: list[Column] | None = None) -> DataFrame:
     """Writes the files under `folder` and returns where each document is: id, file, frame (its number in the file), frame_at, frame_bytes, n_tokens, before (ids before it in the file), part.
 
     Null texts count as empty and have the end id alone. Rows with one id stand next to
-    each other, ordered by a hash of their text; null ids come first. Other columns are
-    ignored, whatever their names. No row, no file.
+    each other, ordered by a hash of their text; null ids come first. `order`, columns of
+    `docs`, is another order to write in. Other columns are ignored, whatever their names.
+    No row, no file.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ordered = own.repartitionByRange(files or partitions(spark), "id").sortWithinPartitions("id", F.xxhash64("text"))
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[c.alias(f"order{i}") for i, c in enumerate(order or [])])
+    # rows of one id are dealt by their text too: however many they are, no task has to take them all
+    keys = [F.col(f"order{i}") for i in range(len(order))] if order else [F.col("id"), F.xxhash64("text")]
+    ordered = own.repartitionByRange(files or partitions(spark), *keys).sortWithinPartitions(*keys).select("id", "text")
     return table(ordered.mapInArrow(tidy(_writer(folder, path, end_id)), _INDEX), "token-index")
 
 
-def token_output(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32, file, frame) of every document, from its bytes as read back from the files.
+def token_output(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, order: list[Column] | None = None) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, from its bytes as read back from the files.
 
     start is the number of ids of all documents before it. See write_token_files for order,
     nulls and repeated ids.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-files")
-    index = write_token_files(docs, folder, path, end_id, id_col, text_col)
+    index = write_token_files(docs, folder, path, end_id, id_col, text_col, order=order)
     read = index.select("id", "file", "frame", "part", "before").mapInArrow(tidy(_checker(folder)), "id long, part int, before long, n_tokens long, ids_crc32 long")
     base = index.groupBy("part").agg(F.sum("n_tokens").alias("of_part"))  # a row per file
     base = base.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("base"))

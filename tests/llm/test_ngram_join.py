@@ -103,3 +103,32 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {50: 50, 51: 50}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_cluster_of_more_blocks_than_bands_is_compared_band_by_band(spark, monkeypatch):
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, ngram_join.ngram_jaccard_classes(df).collect()))
+    assert max(r[2] for r in want) > 20
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 2)
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_classes(df).collect())) == want
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 8)
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_classes(df).collect())) == want
+
+
+def test_repeated_ids_and_null_ids_keep_one_of_each(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text.replace("w39", "y")
+    rows = [(1, text), (1, text), (1, near), (2, near), (None, text), (None, "alone " * 9), (None, "alone " * 9), (3, None), (3, None), (4, ""), (5, "...")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit("clash")).withColumn("k", F.lit(0))
+    kept = ngram_join.one_of_each_class(df).collect()
+    assert len([r for r in kept if r["doc_id"] == 1]) == 1 and [r for r in kept if r["doc_id"] == 1][0]["text"] in (text, near)
+    assert sorted((str(r["doc_id"]), str(r["text"])[:5]) for r in kept if r["doc_id"] != 1) == [("3", "None"), ("4", ""), ("5", "..."), ("None", "alone")]
+    assert kept[0].__fields__ == df.columns

@@ -23,6 +23,7 @@ def test_stages_against_their_own_rules(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     text = {r[0]: r[1] for r in rows}
     kept = []
+    assert [name for name, _ in corpus_pipeline.STAGES[2:4]] == ["decontamination", "poisson_mix"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
@@ -39,8 +40,17 @@ def test_stages_against_their_own_rules(spark, tmp_path):
 
     tool = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert sorted(r["doc_id"] for r in out) == mixed
+    # token files are in the order of the mix
+    from freshet.llm.mixing import mix
+
+    before = spark.read.parquet(f"{tmp_path}/decontamination")
+    in_mix = [r["doc_id"] for r in mix(before).orderBy("position").select("doc_id").collect()]
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["start"])] == in_mix and in_mix != sorted(in_mix)
     for r in out:
         ids = [*tool.encode(text[r["doc_id"]], add_special_tokens=False).ids, 2]
         assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
+    unfiled = spark.createDataFrame(docs.collect(), docs.schema)
+    by_id = sorted(corpus_pipeline.STAGES[-1][1](spark, unfiled, str(tmp_path)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in by_id] == mixed
