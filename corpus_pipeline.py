@@ -9,7 +9,7 @@ from freshet.llm.decontaminate import decontaminate
 from freshet.llm.language_id import fit_language_model, held_out, keep_languages
 from freshet.llm.mixing import mix
 from freshet.llm.ngram_join import one_of_each_class
-from freshet.llm.runtime import table
+from freshet.llm.runtime import discard, table
 from freshet.llm.token_output import token_output
 from freshet.shipping import ship
 
@@ -38,17 +38,24 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources get their target shares, in one random order."""
+    """Repeats or leaves out documents so that sources get their target shares; the order of the rows that are written is the mix's global random order."""
     ship(spark)
-    return mix(docs.select(COLUMNS)).select(COLUMNS)
+    return mix(docs.select(COLUMNS)).sortWithinPartitions("position").select(COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token files and returns each copy's place, size and checksum as read back."""
+    """Writes token files, documents in the order in which the mixing stage wrote them, and returns each copy's place, size and checksum as read back.
+
+    That order is the place of a row in its files; documents that come from no files are in ascending order of their ids.
+    """
     import public_tokenizers
 
     ship(spark)
-    return token_output(docs, public_tokenizers.path(VOCABULARY), END_ID)
+    order = None
+    if docs.inputFiles():
+        docs = docs.select(*COLUMNS, F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+        order = [F.col("file_name"), F.col("row_index")]
+    return token_output(docs, public_tokenizers.path(VOCABULARY), END_ID, order=order)
 
 
 STAGES = [
@@ -66,5 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name)
+        kept = table(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
