@@ -15,6 +15,18 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
+def standing(joined):
+    """(begin, end, label, confidence) of all matches of all rules, without any prefilter, that lie in no other of the same or a higher priority."""
+    found = []
+    for p in {r[0] for r in L.rules()}:
+        own = [(label, re.compile(pattern), sure) for q, label, pattern, sure in L.rules() if q == p]
+        for at in (m.start() for m in re.finditer(" ", joined)):
+            hit = next(((m, label, sure) for label, pattern, sure in own if (m := pattern.match(joined, at))), None)
+            if hit:
+                found.append((at, hit[0].end(), p, hit[1], hit[2]))
+    return sorted((f[0], f[1], f[3], f[4]) for f in found if not any(g is not f and g[0] <= f[0] and g[1] >= f[1] and g[2] <= f[2] for g in found))
+
+
 def scan(text):
     """Base columns by a plain loop, labels by the rules in order."""
     ws = words(text)
@@ -23,31 +35,40 @@ def scan(text):
         p = phrase.split()
         places += [(i, label) for i in range(len(ws) - len(p) + 1) if ws[i : i + len(p)] == p]
     base = sorted({label for _, label in places})
-    joined, labels, best = f" {' '.join(ws)} ", set(base), 0.8 if base else 0.0
-    first = joined
-    for _, label, key, pattern, sure in L.rules():
-        if f" {key} " not in first:
-            continue
-        if re.search(pattern, joined):
-            labels.add(label)
-            best = max(best, sure)
-            joined = re.sub(pattern, lambda m: re.sub("[^ ]", "\x03", m.group()), joined)
-    return len(ws), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(base), ",".join(sorted(labels)), best
+    spots = standing(f" {' '.join(ws)} ")
+    labels = sorted({*base, *(s[2] for s in spots)})
+    best = max([0.8 if base else 0.0, *(s[3] for s in spots)])
+    return (len(ws), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(base), ",".join(labels), best), spots
 
 
 def test_license_rules_against_a_loop(spark):
     rng = random.Random(4)
-    lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "CC BY-NC 4.0", "cc-by-nc cc by nc", "SPDX-License-Identifier: BSD-3-Clause", "GNU General Public License v3", "under the mit licenses", "https://creativecommons.org/licenses/by-sa/4.0/", "Apache License Version 2", "the ISC license", "plain words", "Ünder the MIT License", "MIT", "cc", "licensed under CC BY-NC-SA 4.0", "under the terms of the Mozilla Public License 2.0", "K license"]
+    lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "CC BY-NC 4.0", "cc-by-nc cc by nc", "SPDX-License-Identifier: BSD-3-Clause", "GNU General Public License v3", "under the mit licenses", "https://creativecommons.org/licenses/by-sa/4.0/", "Apache License Version 2", "the ISC license", "plain words", "Ünder the MIT License", "MIT", "cc", "licensed under CC BY-NC-SA 4.0", "under the terms of the Mozilla Public License 2.0", "K license", "gpl 2 license zlib", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or", "To the extent possible under law, A B has waived all copyright and related or neighboring rights to"]
     texts = ["", None, "under the MIT license " * 400] + [rng.choice([" ", "\n", ", ", "-"]).join(rng.choice(lines) for _ in range(rng.randint(1, 8))) for _ in range(150)]
     df = spark.createDataFrame(list(enumerate(texts)) + [(None, "mit license"), (3, texts[3])], "doc_id long, text string").withColumn("words", F.lit("clash")).withColumn("found", F.lit(1))
     out = L.scan_licenses(df)
     got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) for r in out.collect() if r["doc_id"] is not None}
+    spots = {r["doc_id"]: [tuple(d) for d in r["detections"]] for r in out.collect()}
     for i, t in enumerate(texts):
-        assert got[i] == scan(t), t
+        want, where = scan(t)
+        assert got[i] == want and spots[i] == where, t
     assert out.count() == len(texts) + 2 and L.scan_licenses(df.limit(0)).count() == 0
-    assert len(L.rules()) >= 200
-    d = out.where("doc_id = 2").first()["detections"]
-    assert len(d) == 400 and all(a["end"] <= b["begin"] for a, b in zip(d, d[1:], strict=False))
+    assert len(L.rules()) >= 300 and len(L.NOTICES) >= 50
+    assert len(spots[2]) == 400
+
+
+def test_many_notices_in_one_text_take_time_in_proportion(spark):
+    import time
+
+    line, took = "Released under the MIT license; gpl 2 license zlib. ", {}
+    each = len(scan(line * 7)[1]) // 7
+    for n in (2_000, 10_000, 40_000):
+        df = spark.createDataFrame([(1, line * n)], "doc_id long, text string")
+        began = time.time()
+        r = L.scan_licenses(df).select("n_base", "labels", F.size("detections").alias("n")).first()
+        took[n] = time.time() - began
+        assert (r["n_base"], r["labels"]) == (n, "gpl-2.0,mit,zlib") and r["n"] == each * n
+    assert took[40_000] < 6 * took[10_000] + 10
 
 
 def test_every_spelling_of_a_license_is_found_as_without_any_prefilter(spark):
@@ -65,13 +86,23 @@ def test_every_spelling_of_a_license_is_found_as_without_any_prefilter(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in L.scan_licenses(df).collect()}
     for i, (label, text) in enumerate(texts):
-        joined, spots = f" {' '.join(words(text))} ", set()
-        base = {b for phrase, b in L.BASE_PHRASES if f" {phrase} " in joined}
-        for _, found, _, pattern, _ in L.rules():
-            spots |= {(m.start(), m.end(), found) for m in re.finditer(pattern, joined)}
-            joined = re.sub(pattern, lambda m: re.sub("[^ ]", "\x03", m.group()), joined)
-        assert {(d["begin"], d["end"], d["label"]) for d in got[i]["detections"]} == spots, text
-        assert got[i]["labels"] == ",".join(sorted(base | {s[2] for s in spots})) and label in got[i]["labels"].split(","), text
+        want, spots = scan(text)
+        assert [tuple(d) for d in got[i]["detections"]] == spots, text
+        assert got[i]["labels"] == want[5] and label in want[5].split(","), text
+
+
+def test_every_rule_has_its_keywords_in_all_its_spellings(spark):
+    rng = random.Random(11)
+    for _, label, keys, pattern in L.signatures():
+        spellings = sorted(L._spellings(pattern))
+        for text in rng.sample(spellings, min(20, len(spellings))):
+            assert keys == ("spdx",) or set(text.split()) & set(keys), (label, text)
+            if "{" not in pattern:
+                assert re.fullmatch(pattern, text), (label, text)
+    notices = [(i, pattern) for i, (_, pattern) in enumerate(L.NOTICES)]
+    texts = [(i, rng.choice(sorted(L._spellings(p.replace(".{1,80}?", "Some One ").replace(".{1,60}?", "thing "))))) for i, p in notices]
+    got = {r["doc_id"]: r["labels"].split(",") for r in L.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(L.NOTICES[i][0] in got[i] for i, _ in texts), [(t, got[i]) for i, t in texts if L.NOTICES[i][0] not in got[i]]
 
 
 def overlaps(doc, item, least=12, identity=0.75):
@@ -216,7 +247,7 @@ def test_mined_rules_against_counting(spark):
     from itertools import combinations
 
     sure = {}
-    for n in range(1, 5):
+    for n in range(1, 6):
         for c in combinations([f"t{j}" for j in range(5)], n):
             hit = [b for t, b in baskets if set(c) <= t]
             base = sum(b for t, b in baskets if t) / sum(1 for t, _ in baskets if t)
@@ -233,6 +264,22 @@ def test_a_url_of_many_tokens_in_many_rows_makes_few_sets(spark):
     assert [(r["tokens"], r["confidence"]) for r in got] == [(["part0"], 1.0)]
 
 
+def test_one_hot_place_long_urls_and_repeated_rows(spark):
+    pages = [(i, "http://same.com/hot/") for i in range(400)] + [(1000 + i, f"http://a{i % 50}.com/free-casino-{i}/") for i in range(100)] + [(2000, "http://x.com/" + "very-long/" * 30_000)] * 2 + [(7, "http://same.com/hot/"), (None, "http://y.com/my_casino")]
+    labels = [(1000 + i, 0, 0) for i in range(60)] + [(i, 1, 0) for i in range(200)]
+    p, lab = spark.createDataFrame(pages, "page_id long, url string").withColumn("token", F.lit("clash")).withColumn("many", F.lit(1)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = U.judge_urls(p, lab).collect()
+    assert len(out) == len(pages) and sum(r["page_id"] == 2000 for r in out) == 2 and sum(r["page_id"] == 7 for r in out) == 2
+    assert all((r["verdict"] == "block") == ("casino" in r["path"]) for r in out)
+
+
+def test_a_combination_of_many_tokens_is_no_less_a_rule(spark):
+    five = [f"t{i}" for i in range(5)]
+    rows = [(five, True)] * 30 + [([t for t in five if t != skip], False) for skip in five for _ in range(60)]
+    got = U.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert [(r["tokens"], r["confidence"]) for r in got] == [(five, 1.0)]
+
+
 def test_twins_among_bad_rows_that_differ_among_good_ones_are_no_twins(spark):
     pages = [(i, f"http://h{i}.com/casino/{i}") for i in range(20)] + [(100 + i, f"http://g{i}.com/news/{i}") for i in range(200)] + [(900, "http://new.com/casino/"), (901, "http://new.com/news/")]
     labels = [(i, 0, 0) for i in range(20)] + [(100 + i, 1, 0) for i in range(200)]
