@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.runtime import table
+from freshet.llm.runtime import join_groups, partitions, table
 
 BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,20 +44,21 @@ def rule_verdicts(host: Column, path: Column, rules=DEFAULT_RULES) -> tuple[Colu
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels and the words inside them, and path parts, each marked by where it stands."""
+    """Distinct tokens: host labels and the words inside them, path parts and the words inside them, each marked by where it stands."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     words = F.filter(F.flatten(F.transform(labels, lambda x: F.split(x, "[-_]"))), lambda x: x != "")
-    parts = F.filter(F.split(F.lower(path), r"[/.]"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
+    whole = F.split(F.lower(path), r"[/.]")
+    parts = F.filter(F.concat(whole, F.flatten(F.transform(whole, lambda x: F.split(x, "[-_]")))), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
     return F.array_distinct(F.concat(F.transform(labels, lambda x: F.concat(F.lit("host="), x)), F.transform(words, lambda x: F.concat(F.lit("word="), x)), F.transform(parts, lambda x: F.concat(F.lit("path="), x))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.6, min_lift: float = 1.5, longest: int = 4) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
     """(tokens, confidence, support) of token combinations that foretell BAD; `labelled` has tokens array<string> and bad boolean.
 
     A combination needs `min_support` of all rows, and `min_count` bad ones at least.
     Tokens that are always together, in good rows as in bad ones, count as one of them (merge_twins).
-    Combinations of more than `longest` tokens are pruned, and one is dropped if a part of it
-    has the same or a greater confidence. No labelled row, no rule.
+    A combination is dropped if a part of it has the same or a greater confidence. No
+    labelled row, no rule.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -67,10 +68,9 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
     if rows["bad"] < max(1, min_count):
         return empty
     # only combinations with BAD can be rules: mine the bad baskets, then count each combination in all of them
-    single = merge_twins(baskets.select("row", F.array_remove("items", BAD).alias("items")))
-    bad = single.join(baskets.where(F.array_contains("items", BAD)).select("row"), "row", "left_semi").select("items")
+    bad = merge_twins(baskets.select("row", F.array_remove("items", BAD).alias("items"), F.array_contains("items", BAD).alias("bad"))).where("bad").select("items")
     share = min(1.0, max(min_support * rows["rows"], min_count) / rows["bad"])
-    frequent = FPGrowth(itemsCol="items", minSupport=share, minConfidence=1.0).fit(bad).freqItemsets.where(F.size("items") <= longest)
+    frequent = FPGrowth(itemsCol="items", minSupport=share, minConfidence=1.0).fit(bad).freqItemsets
     sets = table(frequent.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")).distinct(), "frequent-sets")
     counted = matches(baskets.select("row", F.col("items").alias("tokens")), sets.select("tokens")).groupBy("rule_tokens").agg(F.count("*").alias("n"))
     rules = sets.join(counted, sets.tokens == counted.rule_tokens).select("tokens", (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / rows["rows"]).alias("support"))
@@ -83,16 +83,18 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
 
 
 def merge_twins(baskets: DataFrame) -> DataFrame:
-    """(row, items) of baskets (row, items), with one token, the least, of those that are in the very same baskets.
+    """(row, bad, items) of baskets (row, items, bad), with one token, the least, of those that are in the very same baskets.
 
     A rule with a twin in another's place has the same support and confidence, and one URL
     that is in many baskets would else add two to the power of its tokens to the frequent
     sets. Tokens are compared by the number and a 128-bit digest of their baskets.
     """
-    each = baskets.select("row", F.explode("items").alias("token"))
+    each = baskets.select("row", "bad", F.explode("items").alias("token"))
     where = each.groupBy("token").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit("twin"))).alias("b"))
-    kept = where.groupBy("many", "a", "b").agg(F.min("token").alias("token")).select("token")
-    return each.join(kept, "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("items"))
+    kept = table(where.groupBy("many", "a", "b").agg(F.min("token").alias("token")).select("token", "many"), "tokens")
+    total = kept.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    # tokens grow with the baskets: only hot ones are sent to all tasks
+    return join_groups(each, kept.hint("merge"), ["token"], "many", total).groupBy("row", "bad").agg(F.collect_list("token").alias("items"))
 
 
 def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -125,11 +127,15 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     rule, verdict = rule_verdicts(F.col("host"), F.col("path"), rules)
     own = own.withColumn("rule", rule).withColumn("rule_verdict", verdict)
     bad = labels.select(F.col(f"`{label_id_col}`").alias("label_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("label_id is not null").groupBy("label_id").agg(F.max("bad").alias("bad"))
-    places = own.groupBy("host", "path", "rule", "rule_verdict").agg(F.count("*").alias("many"))  # each place is judged once
+    places = table(own.groupBy("host", "path", "rule").agg(F.count("*").alias("many")), "places")  # each place is judged once
     open_places = places.where("rule is null").select("host", "path", url_tokens(F.col("host"), F.col("path")).alias("tokens"))
-    known = own.where("rule is null").join(bad, F.col("id") == F.col("label_id")).select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), "bad")
+    known = own.where("rule is null").join(bad.hint("merge"), F.col("id") == F.col("label_id")).select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), "bad")
     mined = mine_rules(known, **mining)
-    hit = matches(open_places, mined).groupBy("host", "path").agg(F.max("confidence").alias("mined_confidence"))
-    # host and path of a place that many pages share: only places that a mined rule fits are joined
-    out = own.join(hit, ["host", "path"], "left")
+    hit = table(matches(open_places, mined).groupBy("host", "path").agg(F.max("confidence").alias("mined_confidence")), "hits")
+    # a place that more pages share than a partition holds on average goes to all tasks: there are fewer of those than partitions
+    total = places.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    hot = places.where(F.col("many") > max(1, total // partitions(pages.sparkSession))).select("host", "path").join(hit, ["host", "path"], "left").withColumn("hot", F.lit(True))
+    marked = own.join(F.broadcast(hot), ["host", "path"], "left")
+    cold = marked.where("hot is null").drop("mined_confidence").join(hit.hint("merge"), ["host", "path"], "left")
+    out = marked.where("hot").unionByName(cold)
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("mined_confidence").isNotNull(), F.lit("block")), F.lit("allow")).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined_confidence")).alias("mined_confidence"))
