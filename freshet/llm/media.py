@@ -2,7 +2,7 @@
 
 A payload has one address, however many rows have it. Each task writes a tar shard with one
 entry for each digest of its rows; of the entries that several tasks made for one digest the
-index names one, and compaction may drop the others. Payloads are never shuffled, only
+index names one, and `compact` writes shards without the others. Payloads are never shuffled, only
 digests and places are. Rows carry digest, shard, offset and length. Metadata comes from a
 range read of the media header alone; a full read gives the payload back, as a check and
 for features.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.runtime import new_folder, open_fs, table
+from freshet.llm.runtime import new_folder, open_fs, partitions, table
 
 WIDTH = 192
 HEADER_BYTES = 33  # signature and IHDR
@@ -181,6 +181,46 @@ def read_payloads(index: DataFrame, folder: str) -> DataFrame:
     return index.mapInArrow(_payload_reader(folder), f"{_READ}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def _compacter(old: str, new: str):
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        fs, root = open_fs(old)
+        name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tar"
+        cache: dict = {}
+        out, at = None, 0
+        for whole in batches:
+            rows, offsets = whole.select(["digest", "shard", "offset", "length"]).to_pylist(), []
+            for r in rows:
+                if out is None:
+                    target, top = open_fs(new)
+                    target.create_dir(top, recursive=True)
+                    out = target.open_output_stream(f"{top}/{name}", compression=None)
+                info = tarfile.TarInfo(f"{r['digest'][:2]}/{r['digest']}.png")
+                info.size = r["length"]
+                head = info.tobuf(tarfile.USTAR_FORMAT)
+                out.write(head + _open(cache, fs, root, r["shard"]).read_at(r["length"], r["offset"]) + bytes(-r["length"] % _BLOCK))
+                offsets.append(at + len(head))
+                at += len(head) + r["length"] + -r["length"] % _BLOCK
+            yield pa.RecordBatch.from_arrays([whole.column(0), pa.array([name] * len(rows), pa.string()), pa.array(offsets, pa.int64()), whole.column(3)], ["digest", "shard", "offset", "length"])
+        if out is not None:
+            out.write(bytes(2 * _BLOCK))
+            out.close()
+
+    return copy
+
+
+def compact(index: DataFrame, old: str, new: str, shards: int | None = None) -> DataFrame:
+    """Copies the entries that `index` names from the shards in folder `old` to new ones in `new`, and returns their index: no digest has two entries there.
+
+    Entries are dealt by shard and offset, so that a task reads long runs of a few shards;
+    readers of `old` go on until its files are deleted. No entry, no shard.
+    """
+    own = index.select("digest", "shard", "offset", "length")
+    dealt = own.repartitionByRange(shards or partitions(index.sparkSession), "shard", "offset").sortWithinPartitions("shard", "offset")
+    return table(dealt.mapInArrow(_compacter(old, new), "digest string, shard string, offset long, length long"), "media-compact")
+
+
 def payload_digest(text: Column, width: int = WIDTH) -> Column:
     """Digest of a text's payload, without Python."""
     raw = F.coalesce(text, F.lit(""))

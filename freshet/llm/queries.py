@@ -26,7 +26,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(_read(spark, sf_dir, "documents")).drop("shard", "offset", "length")
+    return media_columns(_read(spark, sf_dir, "documents"))
 
 
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

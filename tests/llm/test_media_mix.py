@@ -83,3 +83,19 @@ def test_given_weights_high_rates_and_edges(spark):
     assert len(n) == 1 and n[0]["doc_id"] == 1 and 4600 < n[0]["count"] < 5400
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.mix(df.where("text is null")).columns == ["doc_id", "source", "text", "copies", "copy", "position"]
+
+
+def test_a_digest_met_by_two_tasks_has_one_address_and_compaction_drops_the_other(spark, tmp_path):
+    import tarfile
+
+    old, new = f"file://{tmp_path}/old", f"file://{tmp_path}/new"
+    rows = [("same",), ("one",), ("two",), ("same",), (None,), ("",)]
+    texts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "text string")
+    index = media.table(media.write_media(texts, old), "index")
+    names = lambda folder: [m.name for f in sorted((tmp_path / folder).glob("*.tar")) for m in tarfile.open(f)]
+    assert index.count() == 4 and len(names("old")) == 5
+    moved = media.compact(index, old, new, shards=2)
+    assert sorted(names("new")) == sorted({n for n in names("old")}) and moved.count() == 4
+    read = lambda at, folder: sorted((r["digest"], r["payload_sha256"], r["media_sha256"]) for r in media.read_payloads(media.read_headers(at, folder), folder).collect())
+    assert read(moved, new) == read(index, old) and all(d == p for d, p, _ in read(moved, new))
+    assert media.compact(index.limit(0), old, new).count() == 0
