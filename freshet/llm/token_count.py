@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from freshet.llm.textkit import by_bytes, tidy
 
 BATCH_SYMBOLS = 1 << 20
-KNOWN_WORDS = 200_000  # pieces, and pre-tokens, remembered between batches; more start the memory anew
+KNOWN_WORDS = 100_000  # pieces, and pre-tokens, remembered between batches; more start the memory anew
 LONG_PIECE = 64  # characters; longer pieces are counted anew each time
+PART_BYTES = 2 << 20  # of text, counted at once
 _NONE = np.int64(1 << 60)
 _SPACE = re.compile(r"\s")
 
@@ -204,7 +205,7 @@ def _counter(path: str):
         tool = merger(path)
         tool.forget()
         for whole in batches:
-            for batch in by_bytes(whole):
+            for batch in by_bytes(whole, PART_BYTES):
                 texts = pc.fill_null(batch.column(1), "")
                 pieces, at, bound = pieces_of(texts)
                 total = np.concatenate(([0], np.cumsum(tool.piece_counts(pieces)[at]))) if len(at) else np.zeros(1, np.int64)

@@ -35,8 +35,10 @@ from freshet.llm.token_count import pieces_of, ragged_take
 
 _SKIP, _END = b"\x5e\x2a\x4d\x18", b"\xb1\xea\x92\x8f"
 _INDEX = "id long, file string, frame_at long, frame_bytes long, frame long, n_tokens long, before long, part int"
-KNOWN_PIECES = 300_000  # remembered between batches; more start the memory anew
+KNOWN_PIECES = 100_000  # remembered between batches; more start the memory anew
 LONG_PIECE = 64  # characters; longer pieces are encoded anew each time
+AT_ONCE = 8_192  # pieces encoded in one call
+PART_BYTES = 2 << 20  # of text, encoded at once
 
 
 class Encoder:
@@ -61,6 +63,8 @@ class Encoder:
         self._known = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(texts) > AT_ONCE:  # few of the library's own objects at a time
+            return [ids for lo in range(0, len(texts), AT_ONCE) for ids in self._encode(texts[lo : lo + AT_ONCE])]
         each = [e.ids for e in self._tool.encode_batch_fast(texts, add_special_tokens=False)]
         bound = [0, *accumulate(map(len, each))]
         raw = np.fromiter(chain.from_iterable(each), np.uint32, bound[-1]).tobytes()
@@ -109,7 +113,7 @@ def _writer(folder: str, path: str, end_id: int):
         name = f"part-{part:06d}-{uuid.uuid4().hex}.ids.zst"  # a repeated task writes another file; the rows name the right one
         out, at, before, seek = None, 0, 0, []
         for whole in batches:
-            for batch in by_bytes(whole):
+            for batch in by_bytes(whole, PART_BYTES):
                 if out is None:
                     fs, root = open_fs(folder)
                     fs.create_dir(root, recursive=True)
