@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,11 @@ from pyspark.sql.types import StructType
 
 
 class Ledger:
-    """Named tables under a folder of any store. A commit writes new versions, then moves one pointer; readers see all or nothing of it."""
+    """Named tables and notes under a folder of any store. A commit writes new files, then makes one pointer; readers see all or nothing of it.
+
+    Files of a commit have a folder of their own, and a pointer is never overwritten: of two
+    writers at once one fails, and neither touches what the other wrote.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -30,39 +35,55 @@ class Ledger:
         finally:
             stream.close()
 
+    def _newest(self) -> tuple[int, dict]:
+        for version in reversed(self._pointers()):
+            try:
+                return version, self._load(version)
+            except ValueError:  # a pointer that is being written
+                continue
+        return 0, {"tables": {}, "notes": {}}
+
     @property
     def version(self) -> int:
-        return (self._pointers() or [0])[-1]
+        return self._newest()[0]
 
-    def tables(self) -> dict[str, str]:
-        return self._load(self.version) if self.version else {}
+    def tables(self) -> dict[str, list[str]]:
+        """The folders of each table."""
+        return self._newest()[1]["tables"]
+
+    def note(self, name: str) -> str | None:
+        """What the last commit that had a note of this name said."""
+        return self._newest()[1]["notes"].get(name)
 
     def read(self, name: str, schema: StructType | str) -> DataFrame:
-        """The current version of a table; an empty one if there is none."""
+        """The current rows of a table; an empty one if there is none."""
         found = self.tables().get(name)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{found}") if found else self.spark.createDataFrame([], schema)
-
-    def commit(self, **tables: DataFrame) -> int:
-        """Writes tables and makes them current together; fails if another commit came between."""
-        base = self.version
-        now = self.tables() | {name: f"{name}/version-{base + 1}" for name in tables}
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/{now[name]}")
-        out = self._fs.create(self._path(f"{self.folder}/.commit-{base + 1}"), True)
-        out.write(bytearray(json.dumps(now).encode()))
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{f}" for f in found]) if found else self.spark.createDataFrame([], schema)
+
+    def commit(self, notes: dict[str, str] | None = None, add: dict[str, DataFrame] | None = None, **tables: DataFrame) -> int:
+        """Writes tables (those in `add` beside the rows that are there) and makes them current together; fails if another commit came between."""
+        base, now = self._newest()
+        attempt = uuid.uuid4().hex
+        every = dict(now["tables"])
+        for name, df in (tables | (add or {})).items():
+            df.write.parquet(f"{self.folder}/{name}/{attempt}")
+            every[name] = [*(every.get(name, []) if name not in tables else []), f"{name}/{attempt}"]
+        said = json.dumps({"tables": every, "notes": now["notes"] | (notes or {})})
+        try:
+            out = self._fs.create(self._path(f"{self.folder}/commit-{base + 1}"), False)
+        except Exception as error:
+            raise RuntimeError("another commit came between") from error
+        out.write(bytearray(said.encode()))
         out.close()
-        if not self._fs.rename(self._path(f"{self.folder}/.commit-{base + 1}"), self._path(f"{self.folder}/commit-{base + 1}")):
-            raise RuntimeError("another commit came between")
         return base + 1
 
     def prune(self, keep: int = 2) -> None:
         """Deletes what only older commits refer to."""
         versions = self._pointers()
-        live = {p for v in versions[-keep:] for p in self._load(v).values()}
+        live = {f for v in versions[-keep:] for fs in self._load(v)["tables"].values() for f in fs}
         for v in versions[:-keep]:
-            for p in self._load(v).values():
-                if p not in live:
-                    self._fs.delete(self._path(f"{self.folder}/{p}"), True)
+            for f in {f for fs in self._load(v)["tables"].values() for f in fs} - live:
+                self._fs.delete(self._path(f"{self.folder}/{f}"), True)
             self._fs.delete(self._path(f"{self.folder}/commit-{v}"), False)
 
     def drop(self) -> None:

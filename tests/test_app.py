@@ -47,6 +47,60 @@ def test_a_failed_batch_is_written_again(spark, tmp_path):
     assert app.update().total() == 0
 
 
+def test_runs_add_what_they_change_and_events_are_settled(spark, tmp_path, monkeypatch):
+    from freshet import app as apps
+
+    monkeypatch.setattr(apps, "_MOST_PARTS", 4)
+    rows = {i: str(i) for i in range(40)}
+    target = lake(spark, tmp_path / "t")
+    app = App(spark, "app", str(tmp_path / "ledger"), lambda s: {"t": s.createDataFrame(list(rows.items()), "k int, v string")}, {"t": target})
+    app.update()
+    before = app.ledger.version
+    assert app.update().total() == 0 and app.ledger.version == before  # nothing is written by a run that changes nothing
+    for n in range(4):
+        rows[n] = f"new {n}"
+        del rows[39 - n]
+        assert app.update().counts == {"t": {"replace": 1, "delete": 1}}
+        assert {r["k"]: r["v"] for r in target.read().collect()} == rows
+        assert len(app.ledger.tables()["tracked-t"]) < 5
+    assert len(target._ledger.tables()["rows"]) == 1 and app.stats().first()["rows"] == 36
+    rows.clear()
+    assert app.update().counts == {"t": {"delete": 36}} and target.read().count() == 0 and app.stats().count() == 0
+
+
+def test_one_of_two_writers_fails_and_neither_loses_rows(spark, tmp_path):
+    a, b = ledger.Ledger(spark, str(tmp_path / "l")), ledger.Ledger(spark, str(tmp_path / "l"))
+    a.commit(x=spark.createDataFrame([(0,)], "a int"))
+    late = a._newest()
+    b.commit(x=spark.createDataFrame([(1,)], "a int"))
+    a._newest = lambda: late
+    with pytest.raises(RuntimeError, match="came between"):
+        a.commit(x=spark.createDataFrame([(2,)], "a int"))
+    del a._newest
+    assert a.version == 2 and [r["a"] for r in a.read("x", "a int").collect()] == [1]
+    a.commit(add={"x": spark.createDataFrame([(3,)], "a int")}, notes={"n": "said"})
+    assert sorted(r["a"] for r in b.read("x", "a int").collect()) == [1, 3] and b.note("n") == "said" and b.note("m") is None
+    with open(tmp_path / "l/commit-4", "w") as half:  # a pointer that is being written
+        half.write('{"tabl')
+    assert b.version == 3
+
+
+def test_lake_tables_keep_changes_apart_until_they_are_many(spark, tmp_path):
+    t = lake(spark, tmp_path / "t")
+    t.prepare()
+    act = lambda *rows: t.apply(spark.createDataFrame(list(rows), "k int, v string, action string"))
+    act(*[(i, "a", "insert") for i in range(30)], (None, "null", "insert"))
+    base = t._ledger.tables()["rows"]
+    act((1, "b", "replace"), (2, None, "delete"), (None, "other", "replace"))
+    act((2, "c", "insert"), (1, None, "delete"), (3, "d", "none"))
+    assert t._ledger.tables()["rows"] == base
+    want = {i: "a" for i in range(30)} | {2: "c", None: "other"}
+    del want[1]
+    assert {r["k"]: r["v"] for r in t.read().collect()} == want and t.read().count() == 30
+    act(*[(i, "z", "replace") for i in range(10, 20)])
+    assert t._ledger.tables()["rows"] != base and {r["k"]: r["v"] for r in t.read().collect()} == want | {i: "z" for i in range(10, 20)}
+
+
 def test_sqlite_files_and_messages(spark, tmp_path):
     schema = spark.createDataFrame([], "k int, v string").schema
     db = str(tmp_path / "x.db")
