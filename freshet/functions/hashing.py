@@ -38,11 +38,20 @@ def set_digest(digest: str | Column) -> Column:
     return F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(digest))), 256)
 
 
-def tree_digest(df, group: list[str], digest: str, digits: int = 3):
-    """Digest per group of any size: members are dealt by the first hexadecimal digits of their own digests, each deal is digested, then the deals' digests in order."""
-    leaves = df.groupBy(*group, F.substring(digest, 1, digits).alias("__deal")).agg(set_digest(digest).alias("__leaf"))
-    ordered = F.array_sort(F.collect_list(F.struct("__deal", "__leaf")))
-    return leaves.groupBy(*group).agg(F.sha2(F.concat_ws("\n", F.transform(ordered, lambda x: x["__leaf"])), 256).alias("digest"))
+def tree_digest(df, group: list[str], digest: str, digits: int = 3, levels: int = 1):
+    """Digest per group of any size: members are dealt by the first hexadecimal digits of their own digests, each deal is digested, then the deals' digests in order.
+
+    With more `levels` members are first dealt by that many times `digits`, and deals are
+    digested together by `digits` fewer each time: two levels of 3 digits hold a deal of a
+    group of 10^12 members to some 60,000. The digest depends on digits and levels, not on
+    what else is in the table.
+    """
+    leaves = df.groupBy(*group, F.substring(digest, 1, digits * levels).alias("__deal")).agg(set_digest(digest).alias("__leaf"))
+    for left in reversed(range(levels)):
+        ordered = F.array_sort(F.collect_list(F.struct("__deal", "__leaf")))
+        folded = F.sha2(F.concat_ws("\n", F.transform(ordered, lambda x: x["__leaf"])), 256).alias("__leaf")
+        leaves = leaves.groupBy(*group, F.substring("__deal", 1, digits * left).alias("__deal")).agg(folded) if left else leaves.groupBy(*group).agg(folded)
+    return leaves.withColumnRenamed("__leaf", "digest")
 
 
 def fnv1a64(data: bytes) -> int:

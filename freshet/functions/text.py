@@ -259,12 +259,26 @@ def ascii_words(text: Column, shortest: int = 2) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: F.length(w) >= shortest)
 
 
-def top_tokens(df: DataFrame, key: str, text: str, n: int = 6) -> DataFrame:
-    """(key, token, n, rank): the most frequent tokens of each row, ties by token."""
-    from pyspark.sql import Window
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def counted(items: Column) -> Column:
+    """Distinct items of an array with their numbers, as (n, item) structs in the order of the items."""
+
+    def runs(ordered: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == F.size(ordered)) | (F.element_at(ordered, i) != F.get(ordered, i)))
+        return let(last, lambda ends: F.transform(ends, lambda e, i: F.struct((e - F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))).alias("n"), F.element_at(ordered, e).alias("item"))))
 
-    counted = df.select(key, F.explode(ascii_words(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "token"))).where(F.col("rank") <= n)
+    return F.when(F.size(items) > 0, let(F.array_sort(items), runs)).otherwise(F.array().cast("array<struct<n:int,item:string>>"))
+
+
+def top_tokens(df: DataFrame, key: str, text: str, n: int = 6) -> DataFrame:
+    """(key, token, n, rank): the most frequent tokens of each row, ties by token. Counted within the row: no shuffle; a key that repeats is counted row by row."""
+    best = F.slice(F.array_sort(F.transform(counted(ascii_words(F.col(text))), lambda c: F.struct((-c["n"]).alias("less"), c["item"].alias("token")))), 1, n)
+    each = df.select(key, F.posexplode(best).alias("at", "best"))
+    return each.select(key, F.col("best.token").alias("token"), (-F.col("best.less")).cast("bigint").alias("n"), (F.col("at") + 1).alias("rank"))
 
 
 def sections(text: Column) -> Column:
@@ -292,19 +306,25 @@ def decode_bom(content: Column) -> Column:
     )
 
 
-#: Languages whose extension is their own name, and those whose extensions are others: fixed values.
-_SAME = "agda astro beancount bicep cairo capnp cmake csv cuda dart dockerfile elm fish func gitignore gleam glsl gn graphql hack heex hlsl ini java janet json jsonnet lua nix pascal perl php proto scala sql svelte swift tcl thrift toml vue xml zig".split()
-_OTHER = {
-    "ada": "adb ads", "asm": "asm nasm s", "bash": "sh bash", "c": "c", "clojure": "clj cljs cljc", "cpp": "cpp h cc cxx hpp hh hxx", "csharp": "cs csx", "css": "css scss", "elisp": "el", "elixir": "ex exs",
-    "erlang": "erl hrl", "fortran": "f f90 f95 f03", "fsharp": "fs fsi fsx", "gdscript": "gd", "go": "go", "graphql": "gql", "groovy": "groovy gradle", "haskell": "hs", "hcl": "hcl tf", "html": "html htm xhtml",
-    "ini": "cfg", "javascript": "js jsx mjs cjs", "json": "jsonl geojson", "julia": "jl", "kotlin": "kt kts", "markdown": "md mdx", "matlab": "m", "ocaml": "ml mli", "perl": "pl pm", "python": "py pyi pyw",
-    "r": "r", "ruby": "rb", "rust": "rs", "solidity": "sol", "tsx": "tsx", "typescript": "ts mts cts", "verilog": "v", "vhdl": "vhd vhdl", "yaml": "yaml yml",
+#: Languages and the extensions of their files: fixed values.
+LANGUAGES = {
+    "ada": "adb ads", "agda": "agda", "asm": "asm nasm s", "astro": "astro", "bash": "bash sh", "beancount": "beancount", "bicep": "bicep", "c": "c",
+    "cairo": "cairo", "capnp": "capnp", "clojure": "clj cljc cljs", "cmake": "cmake", "cpp": "cc cpp cxx h hh hpp hxx", "csharp": "cs csx",
+    "css": "css scss", "csv": "csv", "cuda": "cuda", "dart": "dart", "dockerfile": "dockerfile", "elisp": "el", "elixir": "ex exs", "elm": "elm",
+    "erlang": "erl hrl", "fish": "fish", "fortran": "f f03 f90 f95", "fsharp": "fs fsi fsx", "func": "func", "gdscript": "gd",
+    "gitignore": "gitignore", "gleam": "gleam", "glsl": "glsl", "gn": "gn", "go": "go", "graphql": "gql graphql", "groovy": "gradle groovy",
+    "hack": "hack", "haskell": "hs", "hcl": "hcl tf", "heex": "heex", "hlsl": "hlsl", "html": "htm html xhtml", "ini": "cfg ini", "janet": "janet",
+    "java": "java", "javascript": "cjs js jsx mjs", "json": "geojson json jsonl", "jsonnet": "jsonnet", "julia": "jl", "kotlin": "kt kts",
+    "lua": "lua", "markdown": "md mdx", "matlab": "m", "nix": "nix", "ocaml": "ml mli", "pascal": "pascal", "perl": "perl pl pm", "php": "php",
+    "proto": "proto", "python": "py pyi pyw", "r": "r", "ruby": "rb", "rust": "rs", "scala": "scala", "solidity": "sol", "sql": "sql",
+    "svelte": "svelte", "swift": "swift", "tcl": "tcl", "thrift": "thrift", "toml": "toml", "tsx": "tsx", "typescript": "cts mts ts", "verilog": "v",
+    "vhdl": "vhd vhdl", "vue": "vue", "xml": "xml", "yaml": "yaml yml", "zig": "zig",
 }
 
 
 def language_table(extra: dict[str, str] | None = None) -> dict[str, str]:
     """Extension in lower case -> language; `extra` adds or replaces entries."""
-    out = {name: name for name in _SAME} | {e: name for name, es in _OTHER.items() for e in es.split()}
+    out = {e: name for name, es in LANGUAGES.items() for e in es.split()}
     return out | {e.lower().lstrip("."): name for e, name in (extra or {}).items()}
 
 

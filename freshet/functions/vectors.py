@@ -82,11 +82,19 @@ def knn_per_group(rows: DataFrame, query: list[float], k: int, group: str, *, ve
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+QUERY_BLOCK = 4_096  # query tokens sent to all tasks at once
+
+
 def max_sim(tokens: DataFrame, query_tokens: DataFrame, group: str, vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """(group, score): the sum over query tokens of the greatest cosine with a token of the group. The query's few tokens are sent to all."""
+    """(group, score): the sum over query tokens of the greatest cosine with a token of the group. Query tokens are sent to all tasks, a block of bounded size at a time."""
     q = query_tokens.select(F.col(query_id).alias("__q"), F.col(vector).alias("__qv"))
-    pairs = tokens.select(group, vector).join(F.broadcast(q))
-    best = pairs.groupBy(group, "__q").agg(F.max(cosine_similarity(F.col(vector), F.col("__qv"))).alias("s"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    best = None
+    for b in range(blocks):
+        some = q if blocks == 1 else q.where(F.pmod(F.xxhash64("__q"), F.lit(blocks)) == b)
+        pairs = tokens.select(group, vector).join(F.broadcast(some))
+        part = pairs.groupBy(group, "__q").agg(F.max(cosine_similarity(F.col(vector), F.col("__qv"))).alias("s"))
+        best = part if best is None else best.unionByName(part)
     return best.groupBy(group).agg(F.sum("s").alias("score"))
 
 
@@ -106,8 +114,15 @@ def reciprocal_rank_fusion(ranked: list[DataFrame], key: str, k: int = 60) -> Da
     return parts.groupBy(key).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"))
 
 
-def _before(value: Column, key: Column):
-    return lambda m: (m["v"] < value) | ((m["v"] == value) & (m["k"] < key))
+def _place(marks: Column, many: int, value: Column, key: Column) -> Column:
+    """How many of the sorted (v, k) marks stand before a value and key, by halving."""
+    steps = [1 << i for i in reversed(range(many.bit_length()))]
+
+    def halve(at: Column, step: Column) -> Column:
+        m = F.get(marks, at + step - 1)
+        return F.when((m["v"] < value) | ((m["v"] == value) & (m["k"] < key)), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
 
 
 def fused_top_k(rows: DataFrame, key: str, values: list[Column], k: int = 10, c: int = 60) -> DataFrame:
@@ -116,15 +131,21 @@ def fused_top_k(rows: DataFrame, key: str, values: list[Column], k: int = 10, c:
     Exact, without ranking all rows: the k first rows of one order score 1 / (c + k) or more,
     so with n orders no row beyond place n * (c + k) - c of all of them can be among the best.
     The few rows before that place are fetched, and a pass for each order counts how many rows precede them.
+    Rows with one key and equal values count as one candidate; a key with other values again
+    is an error. Rows with a null key or value are left out.
     """
     n = len(values)
     first = n * (c + k) - c
     names = [f"v{i}" for i in range(n)]
     own = rows.select(F.col(key).alias("key"), *[v.alias(x) for v, x in zip(values, names, strict=True)])
+    own = own.where(" and ".join(f"{x} is not null" for x in ["key", *names]))
     few = own.orderBy(names[0], "key").limit(first)
     for x in names[1:]:
         few = few.unionByName(own.orderBy(x, "key").limit(first))
-    found = {r["key"]: r for r in few.collect()}  # n * first rows at most
+    found: dict = {}
+    for r in few.collect():  # n * first rows at most
+        if found.setdefault(r["key"], r) != r:
+            raise ValueError(f"{r['key']!r} is the key of rows with different values")
     kind = own.schema["key"].dataType.simpleString()
     if not found:
         return own.select(F.col("key").alias(key), F.lit(0.0).alias("score")).limit(0)
@@ -133,8 +154,7 @@ def fused_top_k(rows: DataFrame, key: str, values: list[Column], k: int = 10, c:
         order = sorted((r[x], r["key"]) for r in found.values())
         marks = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(k).alias("k")) for v, k in order])
         # how many of the few stand before a row; rows with the same number are counted together
-        value = F.col(x)
-        place = F.size(F.filter(marks, _before(value, F.col("key"))))
+        place = _place(marks, len(order), F.col(x), F.col("key"))
         counts = {r["place"]: r["count"] for r in own.groupBy(place.alias("place")).count().collect()}
         total, at = 0, {}
         for j, (_, row) in enumerate(order):

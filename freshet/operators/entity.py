@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 from freshet.operators.graph import connected
 
 PINNED, PREFERRED = "pinned", "preferred"
+BLOCK_ROWS = 8_192  # vectors of a block
+_TILE = 1_024  # rows of a block compared at once
 
 
-def similar_pairs(vectors: DataFrame, max_distance: float = 0.3, name: str = "name", vector: str = "embedding", blocks: int = 8) -> DataFrame:
-    """(a, b, similarity) of names a < b whose cosine is 1 - max_distance or more; rows with a null or zero vector have none. Raise `blocks` with the input: a task holds two blocks."""
+def similar_pairs(vectors: DataFrame, max_distance: float = 0.3, name: str = "name", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
+    """(a, b, similarity) of names a < b whose cosine is 1 - max_distance or more; rows with a null or zero vector have none. A task holds two blocks, of BLOCK_ROWS rows on average unless `blocks` is given."""
+    if blocks is None:
+        blocks = max(4, -(-vectors.count() // BLOCK_ROWS))
     own = vectors.select(F.col(name).alias("name"), F.col(vector).alias("v"), F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias("block")).where("v is not null")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = own.withColumn("other", other).select("name", "v", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
@@ -35,9 +39,13 @@ def similar_pairs(vectors: DataFrame, max_distance: float = 0.3, name: str = "na
         size = np.linalg.norm(m, axis=1, keepdims=True)
         m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-        sim = m[left] @ m[right].T
-        i, j = np.nonzero(sim >= np.float32(1 - max_distance))
-        a, b, s = names[left[i]], names[right[j]], sim[i, j]
+        found = []
+        for lo in range(0, len(left), _TILE):
+            sim = m[left[lo : lo + _TILE]] @ m[right].T
+            i, j = np.nonzero(sim >= np.float32(1 - max_distance))
+            found.append((left[lo + i], right[j], sim[i, j]))
+        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (left, left, np.zeros(0, np.float32))
+        a, b = names[i], names[j]
         keep = a < b if bi == bj else a != b
         a, b, s = a[keep], b[keep], s[keep]
         return pa.table({"a": pa.array(np.where(a < b, a, b), table.schema.field("name").type), "b": pa.array(np.where(a < b, b, a), table.schema.field("name").type), "similarity": pa.array(s.astype(np.float64))})
@@ -96,7 +104,7 @@ def resolve_component(names: list[str], vectors: np.ndarray, existing: set[str],
     return parent
 
 
-def resolve_entities(entities: DataFrame, resolve: Callable[[str, list[str]], Resolution], *, name: str = "name", vector: str = "embedding", existing: str | None = None, policy: str = PINNED, max_distance: float = 0.3, top_n: int = 5, blocks: int = 8) -> DataFrame:
+def resolve_entities(entities: DataFrame, resolve: Callable[[str, list[str]], Resolution], *, name: str = "name", vector: str = "embedding", existing: str | None = None, policy: str = PINNED, max_distance: float = 0.3, top_n: int = 5, blocks: int | None = None) -> DataFrame:
     """(name, parent, canonical) of every distinct name; a component of similar names is one task's work, as the choice depends on the order.
 
     `existing` is a boolean column of names that are canonical already.

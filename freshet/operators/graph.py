@@ -51,9 +51,14 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="freshet-graph-"))
+            folder = tempfile.mkdtemp(prefix="freshet-graph-")
+        spark.sparkContext.setCheckpointDir(folder)
     both = both.checkpoint()
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
     for _ in range(rounds):

@@ -77,12 +77,12 @@ def test_personal_data(spark):
     t = "Mail a.b+c@mail.example.com, call (212) 555-0123 or 212-555-0199; SSN 123-45-6789, not 000-12-3456; card 4111 1111 1111 1111, not 4111 1111 1111 1112 nor 1111111111111111."
     df = spark.createDataFrame([(1, t), (2, None)], "id int, text string")
     n = df.select("id", *[c.alias(k) for k, c in pii.counts(F.col("text")).items()]).orderBy("id").collect()
-    assert n[0].asDict() == {"id": 1, "email": 1, "phone": 2, "ssn": 1, "payment_card": 1} and n[1]["email"] == 0
+    assert n[0].asDict() == {"id": 1, "email": 1, "phone": 2, "us_ssn": 1, "payment_card": 1} and n[1]["email"] == 0
     out = df.select(pii.redact(F.col("text")).alias("t")).first()["t"]
     assert out.count("[REDACTED_") == 5 and "4111 1111 1111 1112" in out and "000-12-3456" in out
-    assert sorted(r["category"] for r in pii.findings(df, "id", "text").collect()) == ["email", "payment_card", "phone", "phone", "ssn"]
-    go, aside = pii.enforce(df, "text", {"email": "quarantine", "ssn": "deny"})
-    assert [r["pii_reason"] for r in aside.collect()] == ["deny:ssn"] and go.count() == 1
+    assert sorted(r["category"] for r in pii.findings(df, "id", "text").collect()) == ["email", "payment_card", "phone", "phone", "us_ssn"]
+    go, aside = pii.enforce(df, "text", {"email": "quarantine", "us_ssn": "deny"})
+    assert [r["pii_reason"] for r in aside.collect()] == ["deny:us_ssn"] and go.count() == 1
 
 
 def test_code_patterns(spark):
@@ -103,3 +103,41 @@ def test_decoding(spark):
     data = [(t.encode(e),) for t, e in (("é", "utf-8"), ("é", "utf-8-sig"), ("é", "utf-16"), ("é", "utf-32"))]
     df = spark.createDataFrame(data, "c binary")
     assert [r[0] for r in df.select(text.decode_bom(F.col("c"))).collect()] == ["é"] * 4
+
+
+def test_personal_data_against_a_plain_search(spark):
+    import re
+
+    patterns = {"email": re.compile(pii.EMAIL.replace("(?iU)", ""), re.I), "phone": re.compile(pii.PHONE), "us_ssn": re.compile(pii.US_SSN), "payment_card": re.compile(pii.PAYMENT_CARD)}
+
+    def luhn(candidate):
+        digits = [int(c) for c in candidate if c.isdigit()]
+        total = sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(reversed(digits)))
+        return total % 10 == 0 and len(set(digits)) > 1
+
+    def search(t):
+        return {k: [m.group() for m in p.finditer(t) if k != "payment_card" or luhn(m.group())] for k, p in patterns.items()}
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("doc_id", "text")
+    edges = ["é@x.org a.b@c.de. _x@y.com- %z@q.io", "1-212-555-0123 (212) 555 0123 212.555.01234", "123 45-6789 900-11-1111 123-45-67890", "4111-1111-1111-1111 4111 1111 1111 1111 22", "", "@@ 12345"]
+    every = docs.unionByName(spark.createDataFrame([(-1 - i, e) for i, e in enumerate(edges)], docs.schema))
+    rows = every.select("doc_id", "text", *[pii.matches(F.col("text"), k).alias(k) for k in patterns], pii.redact(F.col("text")).alias("redacted")).collect()
+    assert len(rows) > 200
+    for r in rows:
+        found = search(r["text"])
+        assert {k: r[k] for k in patterns} == found
+        assert sum(map(len, found.values())) > 0 or r["redacted"] == r["text"]
+        assert all(r["redacted"].count(pii.REDACTED[k]) >= len(set(found[k])) for k in ("email", "us_ssn"))
+
+
+def test_items_are_counted_within_their_row(spark):
+    from collections import Counter
+
+    texts = ["b a a c b a", "", None, "one", "x1 x1 y2 y2 z3", "zz " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for r in text.top_tokens(df, "id", "t", 2).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["token"], r["n"]))
+    for i, t in enumerate(texts):
+        want = sorted(Counter(w for w in (t or "").split() if len(w) > 1).items(), key=lambda c: (-c[1], c[0]))[:2]
+        assert sorted(got.get(i, [])) == [(k + 1, w, n) for k, (w, n) in enumerate(want)]
