@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freshet.plans import reconciling, relational, streams, texts, workloads  # noqa: F401  (they register themselves)
+from freshet.plans import histories, reconciling, relational, streams, texts, workloads  # noqa: F401  (they register themselves)
 from freshet.plans.registry import ORACLES, QUERIES, Query
 
 
