@@ -11,6 +11,7 @@ from freshet.llm.textkit import by_bytes
 
 _GAP = "\n\n\n"  # one less than the longest n-gram: no n-gram reaches into the next text
 LONGEST = 4
+PIECE = 1 << 20  # characters of a text handled at once
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
@@ -32,6 +33,23 @@ def grams(points: np.ndarray, n: int, bits: int) -> np.ndarray:
     return (out >> np.uint32(32 - bits)).astype(np.int32)
 
 
+def pieces(texts: list[str], size: int | None = None) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """(first text, texts, starts that count in each): texts as they are, but a long one in pieces that overlap, so that every n-gram starts in one of them."""
+    size = size or PIECE
+    i = 0
+    while i < len(texts):
+        j = i
+        while j < len(texts) and len(texts[j]) <= size:
+            j += 1
+        if j > i:
+            yield i, texts[i:j], np.fromiter(map(len, texts[i:j]), np.int64, j - i)
+            i = j
+            continue
+        for a in range(0, len(texts[i]), size):
+            yield i, [texts[i][a : a + size + LONGEST - 1]], np.array([min(size, len(texts[i]) - a)])
+        i += 1
+
+
 def text_parts(batch: pa.RecordBatch, column: int = 1, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with at most `limit` bytes of text, or one text, and their texts; null is empty."""
     for part in by_bytes(batch, limit, column):

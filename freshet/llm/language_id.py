@@ -17,30 +17,42 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.chargrams import codepoints, grams, text_parts
+from freshet.llm.chargrams import codepoints, grams, pieces, text_parts
 from freshet.llm.textkit import tidy
 
 BITS = 15
 SIZES = (1, 2, 3)
 _SCALE = 20.0
-LONGEST_GAP = 3
 
 
 def _spots(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    points, bound = codepoints([t.lower() for t in texts])
+    points, bound = codepoints(texts)
     return [grams(points, n, BITS) for n in SIZES], bound
 
 
+def _counts(text: str) -> np.ndarray:
+    """Numbers of a text's n-grams by bucket."""
+    count = np.zeros(1 << BITS, np.int64)
+    for _, part, starts in pieces([text.lower()]):
+        for s in _spots(part)[0]:
+            count += np.bincount(s[: starts[0]], minlength=1 << BITS)
+    return count
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, docs = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
         for _, texts in text_parts(batch, 0):
-            spots, bound = _spots(texts)
-            for i in range(len(texts)):
-                seen = np.zeros(1 << BITS, bool)
-                for n, s in zip(SIZES, spots, strict=True):
-                    seen[s[bound[i] : bound[i + 1] - LONGEST_GAP]] = True
-                total += seen
+            now, seen = -1, np.zeros(1 << BITS, bool)
+            for first, part, starts in pieces([t.lower() for t in texts]):
+                spots, bound = _spots(part)
+                for i in range(len(part)):
+                    if first + i != now:
+                        total += seen
+                        now, seen = first + i, np.zeros(1 << BITS, bool)
+                    for s in spots:
+                        seen[s[bound[i] : bound[i] + starts[i]]] = True
+            total += seen
             docs += len(texts)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], docs), pa.int64())], ["bucket", "df"])
@@ -49,12 +61,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in text_parts(batch, 1):
-            spots, bound = _spots(texts)
             buckets, counts = [], []
-            for i in range(len(texts)):
-                count = np.zeros(1 << BITS, np.int64)
-                for s in spots:
-                    count += np.bincount(s[bound[i] : bound[i + 1] - LONGEST_GAP], minlength=1 << BITS)
+            for text in texts:
+                count = _counts(text)
                 some = np.flatnonzero(count)
                 buckets.append(some.astype(np.int32))
                 counts.append(count[some].astype(np.float32))
@@ -74,17 +83,17 @@ class LanguageModel:
     def logits(self, texts: list[str]) -> np.ndarray:
         k = len(self.languages)
         wide = np.ascontiguousarray(np.concatenate((self.weights, self.idf[:, None]), axis=1).astype(np.float32))
-        spots, bound = _spots(texts)
         total = np.zeros((len(texts), k + 1), np.float64)
-        inside = np.ones(int(bound[-1]), bool)
-        for j in range(LONGEST_GAP):
-            inside[bound[1:] - 1 - j] = False  # an n-gram that begins in the gap is none
-        for s in spots:
-            some = np.flatnonzero(inside[: len(s)])
-            owner = np.searchsorted(some, bound[:-1])
-            full = np.flatnonzero(np.diff(np.append(owner, len(some))))
-            if len(full):
-                total[full] += np.add.reduceat(wide[s[some]], owner[full], axis=0, dtype=np.float32)
+        for first, part, starts in pieces([t.lower() for t in texts]):
+            spots, bound = _spots(part)
+            inside = np.zeros(int(bound[-1]), bool)  # an n-gram that begins in a gap is none
+            inside[np.repeat(bound[:-1] - np.concatenate(([0], np.cumsum(starts)[:-1])), starts) + np.arange(starts.sum())] = True
+            for s in spots:
+                some = np.flatnonzero(inside[: len(s)])
+                owner = np.searchsorted(some, bound[:-1])
+                full = np.flatnonzero(np.diff(np.append(owner, len(some))))
+                if len(full):
+                    total[first + full] += np.add.reduceat(wide[s[some]], owner[full], axis=0, dtype=np.float32)
         return _SCALE * total[:, :k] / np.maximum(total[:, k:], 1e-9) + self.bias
 
 

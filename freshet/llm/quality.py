@@ -20,14 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import textkit
-from freshet.llm.chargrams import codepoints, grams, text_parts
+from freshet.llm.chargrams import codepoints, grams, pieces, text_parts
 from freshet.llm.language_id import held_out
 
 TEXT_BITS, KIND_BITS = 12, 12
 WIDTH = (1 << TEXT_BITS) + (1 << KIND_BITS) + 8
 DIMENSIONS = 48
 NEIGHBOURS = 15
-_GAP = 3
 
 
 def _kinds(points: np.ndarray) -> np.ndarray:
@@ -46,19 +45,18 @@ def _kinds(points: np.ndarray) -> np.ndarray:
 
 def term_counts(texts: list[str]) -> np.ndarray:
     """Counts of terms, a row for each text."""
-    points, bound = codepoints(texts)
-    kinds = _kinds(points)
     out = np.zeros((len(texts), WIDTH), np.float32)
-    inside = np.ones(len(points), bool)
-    for j in range(_GAP):
-        inside[bound[1:] - 1 - j] = False
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(bound))
-    flat = np.zeros(out.size, np.int64)
-    for source, n, bits, base in ((points, 3, TEXT_BITS, 0), (kinds, 2, KIND_BITS, 1 << TEXT_BITS), (kinds, 4, KIND_BITS, 1 << TEXT_BITS)):
-        g = grams(source, n, bits)
-        m = inside[: len(g)]
-        flat += np.bincount(owner[: len(g)][m] * WIDTH + base + g[m], minlength=out.size)
-    out += flat.reshape(out.shape)
+    for first, part, starts in pieces(texts):
+        points, bound = codepoints(part)
+        kinds = _kinds(points)
+        spots = np.repeat(bound[:-1] - np.concatenate(([0], np.cumsum(starts)[:-1])), starts) + np.arange(starts.sum())
+        owner = np.repeat(np.arange(len(part), dtype=np.int64) * WIDTH, starts)
+        flat = np.zeros(len(part) * WIDTH, np.int64)
+        for source, n, bits, base in ((points, 3, TEXT_BITS, 0), (kinds, 2, KIND_BITS, 1 << TEXT_BITS), (kinds, 4, KIND_BITS, 1 << TEXT_BITS)):
+            g = grams(source, n, bits)
+            m = spots < len(g)
+            flat += np.bincount(owner[m] + base + g[spots[m]], minlength=len(flat))
+        out[first : first + len(part)] += flat.reshape(len(part), WIDTH)
     words, wb = textkit.word_hashes(pa.array(texts, pa.string()))
     for back in (1, 2):  # a word again at once, or after one other
         same = np.zeros(len(words), np.int64)
@@ -138,7 +136,8 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 
     Of each label (0 and 1) about `per_label` rows are used (all, where there are fewer),
     chosen by a hash of the id; `key_rule` is a condition on ids that may be learned from.
-    Several labels of one id count as the highest.
+    Several labels of one id count as the highest; of several rows of one id the least text
+    is learned from.
     """
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     given = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
@@ -162,7 +161,9 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
         else:
             df[r["term"]] = r["df"]
     idf = (np.log((1 + docs_seen) / (1 + df)) + 1).astype(np.float32)
-    rows = own.join(F.broadcast(sample), "id").select("label", "text").mapInArrow(_texts, "label int, terms array<int>, counts array<float>").toArrow()
+    # of rows that share an id one is learned from: no more rows than the sample has come back
+    learned = own.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = learned.select("label", "text").mapInArrow(_texts, "label int, terms array<int>, counts array<float>").toArrow()
     if not rows.num_rows:
         return None
     counts = np.zeros((rows.num_rows, WIDTH), np.float32)

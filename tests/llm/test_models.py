@@ -104,3 +104,103 @@ def test_scores_are_those_of_all_cosines():
         best = sorted(range(30), key=lambda j: -sims[j])[:5]
         w = [max(sims[j], 1e-3) ** 8 for j in best]
         assert abs(got[i] - sum(x * labels[j] for x, j in zip(w, best, strict=True)) / sum(w)) < 1e-5
+
+
+def plain_buckets(text):
+    """Counts of the buckets of a text's 1- to 3-grams, one character at a time."""
+    from collections import Counter
+
+    mult, out = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F), Counter()
+    padded = text.lower() + "\n\n\n"
+    for n in (1, 2, 3):
+        for i in range(len(padded) - 3):
+            h = n * 0x165667B1 & 0xFFFFFFFF
+            for k in range(n):
+                h = ((h ^ ord(padded[i + k]) * mult[k] & 0xFFFFFFFF) * 0x2545F491) & 0xFFFFFFFF
+                h ^= h >> 15
+            out[h >> (32 - language_id.BITS)] += 1
+    return out
+
+
+def test_language_scores_against_plain_loops(spark, monkeypatch):
+    import math
+
+    from freshet.llm import chargrams
+
+    rng = np.random.default_rng(5)
+    size = 1 << language_id.BITS
+    idf, weights, bias = rng.uniform(1, 5, size), rng.normal(0, 1, (size, 3)) * (rng.random((size, 3)) < 0.3), rng.normal(0, 1, 3)
+    model = language_id.LanguageModel(["a", "b", "c"], weights * idf[:, None], idf, bias, 1.7)
+    texts = ["Ein Satz, ΣΑΣ und mehr.", "x", "", "ab " * 700, "日本語 text 12", "123", None, "é\n\nz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def plain(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        counts = plain_buckets(text)
+        total = sum(n * idf[b] for b, n in counts.items())
+        z = [sum(20.0 * n * idf[b] / total * weights[b, j] for b, n in counts.items()) + bias[j] for j in range(3)]
+        e = [math.exp((v - max(z)) / 1.7) for v in z]
+        return "abc"[int(np.argmax(z))], max(e) / sum(e)
+
+    for piece in (None, 64):  # texts whole, and long ones in pieces
+        if piece:
+            monkeypatch.setattr(chargrams, "PIECE", piece)
+            assert np.allclose(model.logits([texts[3]]), whole)
+        whole = model.logits([texts[3]])
+        got = {r["doc_id"]: r for r in language_id.predict_language(df, model).collect()} if piece is None else got
+        for i, t in enumerate(texts):
+            name, score = plain(t)
+            assert got[i]["lang_pred"] == name and abs(got[i]["score"] - score) < 1e-3, t
+    for t in texts[:5]:
+        counted = language_id._counts(t)
+        assert {int(b): int(counted[b]) for b in np.flatnonzero(counted)} == dict(plain_buckets(t))
+
+
+def test_updates_against_a_plain_loop():
+    rng = np.random.default_rng(3)
+    rows, labels = [], rng.integers(0, 3, 12)
+    for _ in range(12):
+        at = np.sort(rng.choice(40, 5, replace=False))
+        rows.append((at, rng.uniform(0, 4, 5)))
+    w, bias = language_id.fit_ftrl(rows, labels, 3, epochs=2)
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.02
+    z, n = {}, {}
+
+    def weight(key):
+        zi = z.get(key, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - np.sign(zi) * l1) / ((beta + n.get(key, 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(12):
+            features = [*zip(rows[i][0].tolist(), rows[i][1].tolist(), strict=True), ("bias", 1.0)]
+            logits = np.array([sum(x * weight((b, c)) for b, x in features) for c in range(3)])
+            p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+            new = {}
+            for b, x in features:
+                for c in range(3):
+                    g = x * (p[c] - (labels[i] == c))
+                    old = n.get((b, c), 0.0)
+                    new[b, c] = (z.get((b, c), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * weight((b, c)), old + g * g)
+            for key, (zi, ni) in new.items():
+                z[key], n[key] = zi, ni
+    assert all(abs(w[b, c] - weight((b, c))) < 1e-9 for b in range(40) for c in range(3))
+    assert all(abs(bias[c] - weight(("bias", c))) < 1e-9 for c in range(3)) and not w[40:].any()
+
+
+def test_quality_terms_of_a_long_text_are_those_of_its_pieces(monkeypatch):
+    from freshet.llm import chargrams
+
+    texts = ["Some words, 12 of them. " * 40, "short", "", "ÄÖ x" * 300]
+    whole = quality.term_counts(texts)
+    monkeypatch.setattr(chargrams, "PIECE", 50)
+    assert (quality.term_counts(texts) == whole).all()
+
+
+def test_repeated_ids_bring_no_more_rows_than_the_sample(spark):
+    docs = spark.createDataFrame([(1, "good text here")] * 50 + [(1, "a text"), (2, "bad bad bad"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    model = quality.fit_quality_model(docs, labels)
+    assert len(model.labels) == 3
+    assert quality.score_quality(docs, model).count() == 53
