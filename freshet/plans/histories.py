@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.functions import text
+from freshet.functions import encoding, text
 from freshet.operators import entity, ledger
 from freshet.plans.registry import query
 from freshet.sources import custom, files
@@ -65,3 +65,15 @@ def heading_sections(spark, t):
     """Sentences become headings; a section goes from one to the next."""
     marked = F.concat(F.lit("# "), F.replace("text", F.lit(". "), F.lit(".\n## ")))
     return t.documents.where("text is not null").select("doc_id", F.size(text.sections(marked)).cast("bigint").alias("sections"))
+
+
+@query("""
+SELECT o_orderkey, strftime(t, '%Y-%m-%dT%H:%M:%S') AS iso, epoch_ms(t)::BIGINT AS ms, (epoch_us(t) - epoch_us(TIMESTAMP '1992-01-01')) / 1e6 AS seconds, o_totalprice AS price, o_orderstatus AS status
+FROM (SELECT *, o_orderdate::TIMESTAMP AS t FROM orders)""")
+def rows_encoded(spark, t):
+    """Orders through text and back, and the encodings of their times."""
+    o = t.orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("t"), "o_totalprice", "o_orderstatus")
+    sent = o.select("o_orderkey", "t", encoding.serialize("o_totalprice", "o_orderstatus").alias("data"))
+    back = sent.withColumn("row", encoding.deserialize("data", o.select("o_totalprice", "o_orderstatus").schema))
+    utc = F.to_utc_timestamp(F.col("t").cast("timestamp"), "UTC")
+    return back.select("o_orderkey", encoding.iso_time(utc).alias("iso"), encoding.milliseconds(F.to_timestamp(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("ms"), encoding.total_seconds(F.lit("1992-01-01").cast("timestamp"), utc).alias("seconds"), F.col("row.o_totalprice").alias("price"), F.col("row.o_orderstatus").alias("status"))

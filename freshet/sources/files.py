@@ -70,6 +70,18 @@ def with_suffix(path: Column, new: str) -> Column:
     return F.concat(F.when(parent(path) == "", F.lit("")).otherwise(F.concat(parent(path), F.lit("/"))), stem(path), F.lit(new))
 
 
+def with_name(path: Column, new: str) -> Column:
+    """The path with another last part."""
+    return F.concat(F.when(parent(path) == "", F.lit("")).otherwise(F.concat(parent(path), F.lit("/"))), F.lit(new))
+
+
+def match(path: Column, pattern: str) -> Column:
+    """Whether a path fits a glob pattern; a pattern without a slash is matched with the last part."""
+    from freshet.sources.match import PatternMatcher
+
+    return PatternMatcher((pattern if "/" in pattern else f"**/{pattern}",)).column(path)
+
+
 def relative_to(path: Column, root: str) -> Column:
     """The rest of a path below `root`, null if it is elsewhere."""
     base = root.rstrip("/") + "/"
