@@ -43,16 +43,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sub.add_parser("doctor", help="whether Spark runs here")
     a = parser.parse_args(argv)
     say = lambda x: print(json.dumps(x, sort_keys=True, default=str))
-    if a.command in ("lock", "package", "audit-verify"):
+    if a.command in ("lock", "package"):
         from freshet import records
 
-        if a.command == "audit-verify":
-            ok = records.AuditLog(a.path).verify()
-            say({"whole": ok})
-            return int(not ok)
         say(records.lock(a.folder) if a.command == "lock" else records.package(a.folder, a.out))
         return 0
     spark = spark or session()
+    if a.command == "audit-verify":
+        from freshet.operators.cases import AuditTable
+
+        ok = AuditTable(spark, a.path).verify()
+        say({"whole": ok})
+        return int(not ok)
     if a.command == "doctor":
         say({"spark": spark.version, "rows": spark.range(3).count()})
         return 0

@@ -1,4 +1,4 @@
-"""Evidence of runs: audit log, provenance, state stores, quarantine, revocation cases, locks and packages."""
+"""What a run is made of, on the driver alone: provenance, small state, locks and packages."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ import json
 import os
 import re
 import tarfile
-import time
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 from pathlib import Path
 
 _SECRET = re.compile(r"(?i)(password|passwd|secret|token|api[_-]?key|authorization|credential|private[_-]?key)")
@@ -94,33 +93,6 @@ class SealedStateStore(StateStore):
         return self._inner.names()
 
 
-class AuditLog:
-    """Events in a file, each with the digest of the one before, without secrets; a changed or missing event shows."""
-
-    def __init__(self, path: str, clock=time.time):
-        self._path, self._clock = Path(path), clock
-
-    def events(self) -> list[dict]:
-        return [json.loads(x) for x in self._path.read_text().splitlines()] if self._path.exists() else []
-
-    def append(self, kind: str, **details) -> dict:
-        before = self.events()
-        body = {"number": len(before), "kind": kind, "at": self._clock(), "details": redact(details), "previous": before[-1]["digest"] if before else ""}
-        event = body | {"digest": canonical_digest(body)}
-        with self._path.open("a") as f:
-            f.write(canonical_json(event) + "\n")
-        return event
-
-    def verify(self) -> bool:
-        last = ""
-        for i, e in enumerate(self.events()):
-            body = {k: v for k, v in e.items() if k != "digest"}
-            if e["number"] != i or e["previous"] != last or canonical_digest(body) != e["digest"]:
-                return False
-            last = e["digest"]
-        return True
-
-
 @dataclass(frozen=True)
 class Provenance:
     """What a run read, with which logic, and what it planned: enough to tell whether a replay does the same."""
@@ -137,68 +109,6 @@ class Provenance:
         return [n for n in ("inputs", "logic", "actions") if getattr(self, n) != getattr(other, n)]
 
 
-class Quarantine:
-    """Items set aside: listed, released or discarded, each with a reason."""
-
-    def __init__(self, store: StateStore):
-        self._store = store
-
-    def add(self, item, reason: str) -> str:
-        ident = canonical_digest(item)[:16]
-        self._store.put(f"quarantine/{ident}", canonical_json({"id": ident, "item": item, "reason": reason, "status": "open"}).encode())
-        return ident
-
-    def list(self, status: str | None = None) -> list[dict]:
-        found = [json.loads(self._store.get(n)) for n in self._store.names() if n.startswith("quarantine/")]
-        return sorted((x for x in found if status in (None, x["status"])), key=lambda x: x["id"])
-
-    def _set(self, ident: str, status: str):
-        raw = self._store.get(f"quarantine/{ident}")
-        if raw is None:
-            raise KeyError(ident)
-        record = json.loads(raw)
-        if record["status"] != "open":
-            raise ValueError(f"{ident} is {record['status']}")
-        self._store.put(f"quarantine/{ident}", canonical_json(record | {"status": status}).encode())
-        return record["item"]
-
-    def release(self, ident: str):
-        return self._set(ident, "released")
-
-    def discard(self, ident: str) -> None:
-        self._set(ident, "discarded")
-
-
-#: Stage -> stages that may follow: fixed values.
-STAGES = {
-    "received": ("suppressing", "rejected", "cancelled"), "suppressing": ("suppressed", "expired"), "suppressed": ("deleting", "restored", "expired"), "deleting": ("deleted", "expired"), "deleted": ("verifying",),
-    "verifying": ("verified", "deleting", "expired"), "verified": (), "restored": (), "rejected": (), "expired": (), "cancelled": (),
-}
-
-
-@dataclass
-class RevocationCase:
-    """A request to make a source vanish: its stage, and a receipt of every target that proved it."""
-
-    case_id: str
-    source: str
-    expected_targets: tuple[str, ...] = ()
-    stage: str = "received"
-    receipts: dict[str, str] = field(default_factory=dict)
-
-    def advance(self, stage: str) -> RevocationCase:
-        if stage not in STAGES[self.stage]:
-            raise ValueError(f"{self.stage} cannot become {stage}")
-        if stage == "verified" and set(self.expected_targets) - self.receipts.keys():
-            raise ValueError("targets without a receipt: " + ", ".join(sorted(set(self.expected_targets) - self.receipts.keys())))
-        self.stage = stage
-        return self
-
-    def receipt(self, target: str, proof: str) -> RevocationCase:
-        self.receipts[target] = proof
-        return self
-
-
 def lock(folder: str, settings: dict | None = None) -> dict:
     """Digests of all Python files below a folder and of settings: what a pipeline is made of."""
     top = Path(folder)

@@ -61,31 +61,11 @@ def test_models(spark):
 
 
 def test_records(tmp_path):
-    log = records.AuditLog(str(tmp_path / "audit"))
-    log.append("run", token="x", rows=3)
-    log.append("run", rows=4)
-    assert log.verify() and log.events()[0]["details"]["token"] == "[REDACTED]"
-    lines = (tmp_path / "audit").read_text().replace('"rows":3', '"rows":5')
-    (tmp_path / "audit").write_text(lines)
-    assert not log.verify()
     for store in (records.StateStore(), records.FileStateStore(str(tmp_path / "s")), records.SealedStateStore(records.StateStore(), lambda b: b[::-1], lambda b: b[::-1])):
         store.put("a/b", b"xy")
         assert store.get("a/b") == b"xy" and store.names() == ["a/b"] and store.get("no") is None
         store.delete("a/b")
         assert store.names() == []
-        q = records.Quarantine(store)
-        ident = q.add({"x": 1}, "odd")
-        assert q.list("open")[0]["reason"] == "odd" and q.release(ident) == {"x": 1} and q.list("open") == []
-        with pytest.raises(ValueError):
-            q.discard(ident)
-    case = records.RevocationCase("c", "s", ("t",))
-    for s in ("suppressing", "suppressed", "deleting", "deleted", "verifying"):
-        case.advance(s)
-    with pytest.raises(ValueError, match="receipt"):
-        case.advance("verified")
-    assert case.receipt("t", "p").advance("verified").stage == "verified"
-    with pytest.raises(ValueError):
-        case.advance("received")
     (tmp_path / "p").mkdir()
     (tmp_path / "p/a.py").write_text("x = 1")
     locked = records.package(str(tmp_path / "p"), str(tmp_path / "p.tar"))
@@ -130,3 +110,32 @@ def test_graph_queries_cover_whole_tables(spark, tmp_path):
     customer = dict(orders)
     assert run("graph_edges_distinct_all") == sorted({(customer[o], p) for o, p in lines})
     assert run("graph_hop2_recommend_all") == sorted({(p, q) for o, p in lines for u, q in lines if o == u and p != q})
+
+
+def test_audit_quarantine_and_cases_are_tables(spark, tmp_path):
+    from freshet.operators import cases
+
+    log = cases.AuditTable(spark, str(tmp_path / "audit"))
+    at = F.lit("2024-01-01").cast("timestamp")
+    one = lambda n: spark.range(n).select(F.lit("run").alias("kind"), at.alias("at"), F.create_map(F.lit("token"), F.lit("x"), F.lit("rows"), F.col("id").cast("string")).alias("details"))
+    assert log.verify() and log.append(one(3)) == 1 and log.append(one(2)) == 2 and log.append(one(0)) == 2 and log.verify()
+    assert {r["details"]["token"] for r in log.events().collect()} == {"[REDACTED]"} and log.events().count() == 5
+    log._ledger.commit(add={"events": log.events().limit(1)})  # an event that nobody appended
+    assert not log.verify()
+    q = cases.QuarantineTable(spark, str(tmp_path / "q"))
+    rows = spark.createDataFrame([(1, "a"), (2, None), (1, "a")], "x int, y string")
+    q.add(rows, "odd")
+    q.add(rows, "again")
+    assert sorted((r["item"], r["reason"], r["status"]) for r in q.items().collect()) == [('{"x":1,"y":"a"}', "odd", "open"), ('{"x":2,"y":null}', "odd", "open")]
+    first = q.items("open").orderBy("item").limit(1).select("id").collect()
+    ids = spark.createDataFrame([*first, ("unknown",)], "id string")
+    assert [tuple(r) for r in q.release(ids).collect()] == [("unknown", None)] and q.items("released").count() == 1
+    assert sorted((r["id"] == "unknown", r["status"]) for r in q.discard(ids).collect()) == [(False, "released"), (True, None)]
+    c = cases.CaseTable(spark, str(tmp_path / "c"))
+    c.open(spark.createDataFrame([("c", "s", ["t", "u"]), ("d", "s", None)], "case_id string, source string, expected array<string>"))
+    ask = lambda *pairs: c.advance(spark.createDataFrame(list(pairs), "case_id string, to string"))
+    for stage in ("suppressing", "suppressed", "deleting", "deleted", "verifying"):
+        assert ask(("c", stage)) == []
+    assert ask(("c", "verified"), ("d", "verified"), ("e", "received")) == [("c", "targets without a receipt: t, u"), ("d", "received cannot become verified"), ("e", "unknown case")]
+    c.receive(spark.createDataFrame([("c", "t", "p"), ("c", "u", "p"), ("x", "t", "p")], "case_id string, target string, proof string"))
+    assert ask(("c", "verified"), ("d", "rejected")) == [] and {r["case_id"]: r["stage"] for r in c.cases().collect()} == {"c": "verified", "d": "rejected"}
