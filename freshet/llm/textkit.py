@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +84,35 @@ def tidy(work: Callable) -> Callable:
     return run
 
 
+class Memory:
+    """Values of the texts asked for last, between `most` and twice as many; texts of more than 64 characters are computed anew each time."""
+
+    def __init__(self, most: int):
+        self.most, self._now, self._before = most, {}, {}
+
+    def forget(self) -> None:
+        self._now, self._before = {}, {}
+
+    def values(self, keys: list[str], compute: Callable[[list[str]], Iterable]) -> list:
+        """The value of each of distinct keys; compute(keys) gives those that are not remembered, none of them None."""
+        now, before = self._now, self._before
+        fresh = [k for k in keys if k not in now and k not in before]
+        made = dict(zip(fresh, compute(fresh), strict=True))
+        out = []
+        for k in keys:
+            value = now.get(k)
+            if value is None:
+                value = before.get(k)
+                if value is None:
+                    value = made[k]
+                if len(k) <= 64:
+                    now[k] = value
+            out.append(value)
+        if len(now) > self.most:
+            self._before, self._now = now, {}
+        return out
+
+
 def by_bytes(batch: pa.RecordBatch, limit: int = 6 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes of text, or one row."""
     size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))))

@@ -20,12 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.textkit import by_bytes, tidy
+from freshet.llm.textkit import Memory, by_bytes, tidy
 
 BATCH_SYMBOLS = 1 << 20
-KNOWN_WORDS = 100_000  # pieces, and pre-tokens, remembered between batches; more start the memory anew
-LONG_PIECE = 64  # characters; longer pieces are counted anew each time
-PART_BYTES = 2 << 20  # of text, counted at once
+KNOWN_WORDS = 100_000  # pieces, and pre-tokens, remembered between batches, or up to twice as many
+PART_BYTES = 3 << 20  # of text, counted at once
 _NONE = np.int64(1 << 60)
 _SPACE = re.compile(r"\s")
 
@@ -68,12 +67,12 @@ class RankMerger:
             first[m] = rank
         if (np.maximum(first[pairs[:, 0]], first[pairs[:, 1]]) >= np.arange(len(pairs))).any():
             raise ValueError("a merge comes before the one that makes its part")
-        self._words: dict[str, int] = {}
-        self._pieces: dict[str, int] = {}
+        self._words, self._pieces = Memory(KNOWN_WORDS), Memory(KNOWN_WORDS)
 
     def forget(self) -> None:
         """Drops what was remembered: the worker may go on to other work."""
-        self._words, self._pieces = {}, {}
+        self._words.forget()
+        self._pieces.forget()
 
     def pre_tokens(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Pre-tokens of texts, none of which has a special string, and whose they are; a character stands for each byte."""
@@ -144,20 +143,15 @@ class RankMerger:
 
     def word_counts(self, words: list[str]) -> np.ndarray:
         """Tokens of distinct pre-tokens, most of which earlier batches have seen."""
-        known = self._words
-        fresh = [w for w in words if w not in known]
-        known.update(zip(fresh, self.counts(fresh).tolist(), strict=True))
-        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        return out
+        return np.array(self._words.values(words, lambda fresh: self.counts(fresh).tolist()), np.int64)
 
     def piece_counts(self, pieces: list[str]) -> np.ndarray:
-        """Tokens of each text; special strings in it are one each."""
-        known = self._pieces
-        fresh = [i for i, p in enumerate(pieces) if p not in known]
-        parts, owner = [pieces[i] for i in fresh], np.arange(len(fresh))
-        total = np.zeros(len(fresh), np.int64)
+        """Tokens of each of distinct texts; special strings in it are one each."""
+        return np.array(self._pieces.values(pieces, lambda fresh: self._fresh_counts(fresh).tolist()), np.int64)
+
+    def _fresh_counts(self, parts: list[str]) -> np.ndarray:
+        many, owner = len(parts), np.arange(len(parts))
+        total = np.zeros(many, np.int64)
         if self._special and self._special.search(" ".join(parts)):
             cut = [self._special.split(p) for p in parts]
             total += np.fromiter(map(len, cut), np.int64, len(cut)) - 1
@@ -166,13 +160,8 @@ class RankMerger:
         if words:
             coded = pa.array(words, pa.string()).dictionary_encode()
             each = self.word_counts(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            total += np.bincount(owner[of], each, len(fresh)).astype(np.int64)
-        new = dict(zip([pieces[i] for i in fresh], total.tolist(), strict=True))
-        out = np.fromiter((new[p] if p in new else known[p] for p in pieces), np.int64, len(pieces))
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        known.update((p, n) for p, n in new.items() if len(p) <= LONG_PIECE)
-        return out
+            total += np.bincount(owner[of], each, many).astype(np.int64)
+        return total
 
 
 def ragged_take(values: np.ndarray, bound: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,15 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.llm.runtime import new_folder, open_fs, partitions, table
-from freshet.llm.textkit import by_bytes, tidy
+from freshet.llm.textkit import Memory, by_bytes, tidy
 from freshet.llm.token_count import pieces_of, ragged_take
 
 _SKIP, _END = b"\x5e\x2a\x4d\x18", b"\xb1\xea\x92\x8f"
 _INDEX = "id long, file string, frame_at long, frame_bytes long, frame long, n_tokens long, before long, part int"
-KNOWN_PIECES = 100_000  # remembered between batches; more start the memory anew
-LONG_PIECE = 64  # characters; longer pieces are encoded anew each time
+KNOWN_PIECES = 100_000  # remembered between batches, or up to twice as many
 AT_ONCE = 8_192  # pieces encoded in one call
-PART_BYTES = 2 << 20  # of text, encoded at once
+PART_BYTES = 4 << 20  # of text, encoded at once
 
 
 class Encoder:
@@ -56,11 +55,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             steps = (json.load(file).get("pre_tokenizer") or {}).get("pretokenizers", [])
         self._by_piece = bool(steps) and steps[0].get("behavior") == "Removed" and steps[0].get("invert", False)
-        self._known: dict[str, bytes] = {}
-
-    def forget(self) -> None:
-        """Drops what was remembered: the worker may go on to other work."""
-        self._known = {}
+        self.known = Memory(KNOWN_PIECES)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(texts) > AT_ONCE:  # few of the library's own objects at a time
@@ -70,21 +65,11 @@ class Encoder:
         raw = np.fromiter(chain.from_iterable(each), np.uint32, bound[-1]).tobytes()
         return [raw[4 * a : 4 * b] for a, b in pairwise(bound)]
 
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        known = self._known
-        fresh = [p for p in pieces if p not in known]
-        new = dict(zip(fresh, self._encode(fresh), strict=True))
-        out = [new[p] if p in new else known[p] for p in pieces]
-        if len(known) > KNOWN_PIECES:
-            known.clear()
-        known.update((p, ids) for p, ids in new.items() if len(p) <= LONG_PIECE)
-        return out
-
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the documents' bounds in them."""
         if self._by_piece:
             pieces, at, bound = pieces_of(texts)
-            each = self._of_pieces(pieces)
+            each = self.known.values(pieces, self._encode)
         else:
             each = self._encode(texts.to_pylist())
         ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4)))
@@ -144,7 +129,7 @@ def _writer(folder: str, path: str, end_id: int):
             entries = b"".join(struct.pack("<III", *s) for s in seek) + struct.pack("<IB", len(seek), tool.width) + _END
             out.write(_SKIP + struct.pack("<I", len(entries)) + entries)
             out.close()
-        tool.forget()
+        tool.known.forget()  # the worker may go on to other work
 
     return write
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from freshet.llm import token_count, token_output  # noqa: E402
+from freshet.llm import textkit, token_count, token_output  # noqa: E402
 from freshet.llm.runtime import open_fs  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -63,7 +63,12 @@ def test_memory_of_words_may_start_anew(monkeypatch):
     monkeypatch.setattr(token_count, "KNOWN_WORDS", 3)
     tool = token_count.RankMerger(PATH)
     for _ in range(3):
-        assert tool.piece_counts(["hello", "strange", "hello", "world", ""]).tolist() == [1, 1, 1, 1, 0]
+        assert tool.piece_counts(["hello", "strange", "world", ""]).tolist() == [1, 1, 1, 0]
+        assert tool.piece_counts(["other", "words", "hello", "four"]).tolist() == [1, 1, 1, 1]
+    memory, asked = textkit.Memory(2), []
+    for keys in (["a", "b", "c"], ["a", "d"], ["e", "a"], ["x" * 65], ["x" * 65], ["b"]):
+        assert memory.values(keys, lambda fresh: (asked.append(fresh), [k.upper() for k in fresh])[1]) == [k.upper() for k in keys]
+    assert asked[:5] == [["a", "b", "c"], ["d"], ["e"], ["x" * 65], ["x" * 65]]
 
 
 def test_ids_are_the_librarys():
