@@ -129,6 +129,20 @@ class App:
         self.ledger.prune(3)
         return UpdateResult(counts, self.ledger.version)
 
+    def live(self, changes: DataFrame, checkpoint: str, trigger: str | None = None):
+        """A streaming query that makes a run whenever `changes`, a stream of any kind, brings rows: at once, or at most every `trigger` ("10 seconds").
+
+        The pipeline reads its sources itself; the stream says when. A run that fails is made
+        again when the query is started again with the same checkpoint.
+        """
+
+        def run(batch: DataFrame, _: int) -> None:
+            if batch.limit(1).count():
+                self.update()
+
+        writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+
     def _tracked(self) -> list[str]:
         return [t.removeprefix("tracked-") for t in self.ledger.tables() if t.startswith("tracked-")]
 

@@ -68,6 +68,23 @@ def test_runs_add_what_they_change_and_events_are_settled(spark, tmp_path, monke
     assert app.update().counts == {"t": {"delete": 36}} and target.read().count() == 0 and app.stats().count() == 0
 
 
+def test_live_runs_follow_a_stream(spark, tmp_path):
+    source = str(tmp_path / "in")
+    write = lambda *rows: spark.createDataFrame(list(rows), "k int, v string").coalesce(1).write.mode("append").parquet(source)
+    write((1, "a"))
+    target = lake(spark, tmp_path / "t")
+    app = App(spark, "app", str(tmp_path / "ledger"), lambda s: {"t": s.read.parquet(source).groupBy("k").agg(F.max("v").alias("v"))}, {"t": target})
+    stream = lambda: spark.readStream.schema("k int, v string").parquet(source)
+    app.live(stream(), str(tmp_path / "cp")).awaitTermination(60)
+    assert {r["k"]: r["v"] for r in target.read().collect()} == {1: "a"}
+    before = app.ledger.version
+    app.live(stream(), str(tmp_path / "cp")).awaitTermination(60)
+    assert app.ledger.version == before
+    write((1, "b"), (2, "c"))
+    app.live(stream(), str(tmp_path / "cp")).awaitTermination(60)
+    assert {r["k"]: r["v"] for r in target.read().collect()} == {1: "b", 2: "c"}
+
+
 def test_one_of_two_writers_fails_and_neither_loses_rows(spark, tmp_path):
     a, b = ledger.Ledger(spark, str(tmp_path / "l")), ledger.Ledger(spark, str(tmp_path / "l"))
     a.commit(x=spark.createDataFrame([(0,)], "a int"))
