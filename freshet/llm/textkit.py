@@ -94,20 +94,20 @@ class Memory:
         self._now, self._before = {}, {}
 
     def values(self, keys: list[str], compute: Callable[[list[str]], Iterable]) -> list:
-        """The value of each of distinct keys; compute(keys) gives those that are not remembered, none of them None."""
+        """The value of each key; compute(keys) gives those that are not remembered, none of them None."""
         now, before = self._now, self._before
-        fresh = [k for k in keys if k not in now and k not in before]
-        made = dict(zip(fresh, compute(fresh), strict=True))
-        out = []
-        for k in keys:
-            value = now.get(k)
-            if value is None:
-                value = before.get(k)
-                if value is None:
-                    value = made[k]
-                if len(k) <= 64:
-                    now[k] = value
-            out.append(value)
+        out = list(map(now.get, keys))
+        fresh = []
+        for i in [i for i, value in enumerate(out) if value is None]:
+            out[i] = before.get(keys[i])
+            if out[i] is None:
+                fresh.append(i)
+            else:
+                now[keys[i]] = out[i]
+        for i, value in zip(fresh, compute([keys[i] for i in fresh]), strict=True):
+            out[i] = value
+            if len(keys[i]) <= 64:
+                now[keys[i]] = value
         if len(now) > self.most:
             self._before, self._now = now, {}
         return out

@@ -1,7 +1,7 @@
 """Counts of subword tokens, by merging symbol arrays in step of rank (operator 9).
 
-Texts are cut at white space, which no token of this vocabulary crosses. The distinct
-pieces of a batch that no earlier batch has seen go through the vocabulary's own normaliser
+Texts are cut at white space and before punctuation that ends a piece, which no token of
+this vocabulary crosses. The distinct pieces of a batch that no earlier batch has seen go through the vocabulary's own normaliser
 and pre-tokeniser, as the `tokenizers` library has them; their distinct pre-tokens are held
 together as one ragged array of symbol ids. In each round every pre-token merges its own
 lowest-ranked pair, all pre-tokens at once; what is left when nothing can merge is counted.
@@ -46,6 +46,8 @@ class RankMerger:
         self._normal, self._pre = tool.normalizer, tool.pre_tokenizer
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        if not cuts_at_space(spec):
+            raise ValueError("the vocabulary normalises or splits texts in another way")
         model = spec["model"]
         vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
@@ -146,7 +148,7 @@ class RankMerger:
         return np.array(self._words.values(words, lambda fresh: self.counts(fresh).tolist()), np.int64)
 
     def piece_counts(self, pieces: list[str]) -> np.ndarray:
-        """Tokens of each of distinct texts; special strings in it are one each."""
+        """Tokens of each text; special strings in it are one each."""
         return np.array(self._pieces.values(pieces, lambda fresh: self._fresh_counts(fresh).tolist()), np.int64)
 
     def _fresh_counts(self, parts: list[str]) -> np.ndarray:
@@ -176,17 +178,33 @@ def merger(path: str) -> RankMerger:
     return RankMerger(path)
 
 
-def pieces_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct pieces between ASCII white space (the empty one too), which piece stands where, and the documents' bounds in that."""
+#: What this cutting is exact for: the pre-token pattern and the normalisers of the vocabulary, fixed values.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMAL = ["NFC", "Replace", "Lowercase"]
+#: A run of punctuation between a letter or digit and white space is a pre-token by itself in every version of Unicode.
+_TAIL = "([0-9A-Za-zÀ-ÖØ-öø-ÿ])([!\"#$%&()*+,\\-./:;=?@\\[\\]^_`{}~]+)( |$)"
+
+
+def cuts_at_space(spec: dict) -> bool:
+    """Whether a vocabulary gives the same ids for a text and for what pieces_of makes of it."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    return steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and steps[0].get("pattern") == {"Regex": SPLIT} and kinds == NORMAL
+
+
+def pieces_of(texts: pa.Array, tails: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct pieces between ASCII white space (the empty one too), punctuation at their ends apart if `tails`, which piece stands where, and the documents' bounds in that."""
     data = texts.buffers()[2]
     raw = memoryview(data).tobytes() if data is not None else b""
     for space in (b"\n", b"\t", b"\r"):
         if space in raw:
             texts = pc.replace_substring(texts, space.decode(), " ")
+    if tails:
+        texts = pc.replace_substring_regex(texts, _TAIL, "\\1 \\2\\3")
     pieces = pc.split_pattern(texts, " ")
     flat = pieces.flatten().dictionary_encode()
     offsets = pieces.offsets.to_numpy()
-    return flat.dictionary.to_pylist(), flat.indices.to_numpy(), offsets - offsets[0]
+    return flat.dictionary, flat.indices.to_numpy(), offsets - offsets[0]
 
 
 def _counter(path: str):
@@ -197,7 +215,7 @@ def _counter(path: str):
             for batch in by_bytes(whole, PART_BYTES):
                 texts = pc.fill_null(batch.column(1), "")
                 pieces, at, bound = pieces_of(texts)
-                total = np.concatenate(([0], np.cumsum(tool.piece_counts(pieces)[at]))) if len(at) else np.zeros(1, np.int64)
+                total = np.concatenate(([0], np.cumsum(tool.piece_counts(pieces.to_pylist())[at]))) if len(at) else np.zeros(1, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(total[bound[1:]] - total[bound[:-1]])], ["id", "n_bytes", "n_tokens"]
                 )

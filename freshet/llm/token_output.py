@@ -16,6 +16,7 @@ the table, then only the frames of the documents that it wants.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -31,20 +32,28 @@ from pyspark.sql import functions as F
 
 from freshet.llm.runtime import new_folder, open_fs, partitions, table
 from freshet.llm.textkit import Memory, by_bytes, tidy
-from freshet.llm.token_count import pieces_of, ragged_take
+from freshet.llm.token_count import cuts_at_space, pieces_of, ragged_take
 
 _SKIP, _END = b"\x5e\x2a\x4d\x18", b"\xb1\xea\x92\x8f"
 _INDEX = "id long, file string, frame_at long, frame_bytes long, frame long, n_tokens long, before long, part int"
-KNOWN_PIECES = 100_000  # remembered between batches, or up to twice as many
+KNOWN_WORDS = 150_000  # remembered between batches, or up to twice as many
 AT_ONCE = 8_192  # pieces encoded in one call
 PART_BYTES = 4 << 20  # of text, encoded at once
 
 
+#: A character that makes a piece odd: not among printable ASCII and the Latin letters up to U+00FF, which all versions of Unicode treat alike.
+_ODD = "[^!-~À-ÖØ-öø-ÿ]"
+#: The vocabulary's pre-token pattern for lower-case text without odd characters, and the gap between two pieces.
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-zß-öø-ÿ0-9]+| ")
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library, unchanged.
+    """Ids of texts by the tokenizers library.
 
     A vocabulary that drops white space gives the same ids for a text and for its pieces
-    between white space: then the library sees each distinct piece once, else whole texts.
+    (see cuts_at_space): then the library sees each distinct word of plain pieces once, and
+    odd pieces and those with special strings whole, with the unchanged tokenizer. With
+    other vocabularies it sees whole texts.
     """
 
     def __init__(self, path: str):
@@ -53,33 +62,57 @@ class Encoder:
         self._tool = Tokenizer.from_file(path)
         self.width = 2 if self._tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         with open(path, encoding="utf-8") as file:
-            steps = (json.load(file).get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self._by_piece = bool(steps) and steps[0].get("behavior") == "Removed" and steps[0].get("invert", False)
-        self.known = Memory(KNOWN_PIECES)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+            spec = json.load(file)
+        self._by_piece = cuts_at_space(spec)
+        if self._by_piece:  # for a word that is a pre-token in normal form already
+            plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+            self._word_tool = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": plain}))
+            self._odd = "|".join([_ODD, *(re.escape(t["content"]) for t in spec["added_tokens"])])
+        self._words, self._odd_pieces = Memory(KNOWN_WORDS), Memory(KNOWN_WORDS // 2)
+
+    def forget(self) -> None:
+        """Drops what was remembered: the worker may go on to other work."""
+        self._words.forget()
+        self._odd_pieces.forget()
+
+    def _encode(self, tool, texts: list[str]) -> list[bytes]:
         if len(texts) > AT_ONCE:  # few of the library's own objects at a time
-            return [ids for lo in range(0, len(texts), AT_ONCE) for ids in self._encode(texts[lo : lo + AT_ONCE])]
-        each = [e.ids for e in self._tool.encode_batch_fast(texts, add_special_tokens=False)]
+            return [ids for lo in range(0, len(texts), AT_ONCE) for ids in self._encode(tool, texts[lo : lo + AT_ONCE])]
+        each = [e.ids for e in tool.encode_batch_fast(texts, add_special_tokens=False)]
         bound = [0, *accumulate(map(len, each))]
         raw = np.fromiter(chain.from_iterable(each), np.uint32, bound[-1]).tobytes()
         return [raw[4 * a : 4 * b] for a, b in pairwise(bound)]
 
+    def _plain_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of plain characters, as a ragged array."""
+        tokens = pa.array(_WORDS.findall(" ".join(pieces).lower()), pa.string()).dictionary_encode()
+        words, at = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
+        gap = words.index(" ") if " " in words else -1
+        ids = self._words.values(words, lambda fresh: self._encode(self._word_tool, fresh))
+        if gap >= 0:
+            ids[gap] = b""
+        values, out = ragged_take(*_ragged(ids), at)
+        return values, np.concatenate(([0], out[np.append(np.flatnonzero(at == gap), len(at))])) if pieces else np.zeros(1, np.int64)
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the documents' bounds in them."""
-        if self._by_piece:
-            pieces, at, bound = pieces_of(texts)
-            each = self.known.values(pieces, self._encode)
-        else:
-            each = self._encode(texts.to_pylist())
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4)))
-        values = np.frombuffer(b"".join(each), np.uint32)
         if not self._by_piece:
-            return values, ends
-        values, out = ragged_take(values, ends, at)
+            return _ragged(self._encode(self._tool, texts.to_pylist()))
+        pieces, at, bound = pieces_of(texts, tails=False)
+        odd = pc.match_substring_regex(pieces, self._odd).to_numpy(zero_copy_only=False)
+        values, ends = self._plain_ids(pieces.filter(pa.array(~odd)).to_pylist())
+        more, more_ends = _ragged(self._odd_pieces.values(pieces.filter(pa.array(odd)).to_pylist(), lambda fresh: self._encode(self._tool, fresh)))
+        place = np.empty(len(pieces), np.int64)  # of each piece among the plain ones, then the odd ones
+        place[~odd], place[odd] = np.arange(len(pieces) - odd.sum()), len(pieces) - odd.sum() + np.arange(odd.sum())
+        values, out = ragged_take(np.concatenate((values, more)), np.concatenate((ends, ends[-1] + more_ends[1:])), place[at])
         return values, out[bound]
 
 
+def _ragged(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One array of the ids of all, and n + 1 bounds."""
+    return np.frombuffer(b"".join(ids), np.uint32), np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4))).astype(np.int64)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     import os
@@ -129,7 +162,7 @@ def _writer(folder: str, path: str, end_id: int):
             entries = b"".join(struct.pack("<III", *s) for s in seek) + struct.pack("<IB", len(seek), tool.width) + _END
             out.write(_SKIP + struct.pack("<I", len(entries)) + entries)
             out.close()
-        tool.known.forget()  # the worker may go on to other work
+        tool.forget()
 
     return write
 
