@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,11 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ship(spark)
     order = None
-    if docs.inputFiles():
+    try:
         docs = docs.select(*COLUMNS, F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
-        order = [F.col("file_name"), F.col("row_index")]
+        order = [F.length("file_name"), F.col("file_name"), F.col("row_index")]  # part numbers of more than five digits are longer
+    except AnalysisException:  # rows of no files
+        docs = docs.select(COLUMNS)
     return token_output(docs, public_tokenizers.path(VOCABULARY), END_ID, order=order)
 
 
