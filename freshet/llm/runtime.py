@@ -45,9 +45,10 @@ def discard(*tables: DataFrame) -> None:
     """Deletes the files of what `table` gave, once all that came of it is written itself; other frames are left alone."""
     for df in tables:
         path = _PLACES.pop(df, None)
-        if path:
-            fs, root = open_fs(path)
-            fs.delete_dir(root)
+        if path:  # by the file system that Spark wrote with
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:

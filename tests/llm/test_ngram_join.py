@@ -132,3 +132,24 @@ def test_repeated_ids_and_null_ids_keep_one_of_each(spark):
     assert len([r for r in kept if r["doc_id"] == 1]) == 1 and [r for r in kept if r["doc_id"] == 1][0]["text"] in (text, near)
     assert sorted((str(r["doc_id"]), str(r["text"])[:5]) for r in kept if r["doc_id"] != 1) == [("3", "None"), ("4", ""), ("5", "..."), ("None", "alone")]
     assert kept[0].__fields__ == df.columns
+
+
+def test_consumed_tables_are_deleted_and_bitmaps_lose_nothing(spark, tmp_path):
+    from pathlib import Path
+
+    from freshet.llm import runtime
+
+    kept = runtime.table(spark.range(5), "kept")
+    place = Path(runtime._PLACES[kept].removeprefix("file://").removeprefix("file:"))
+    assert place.exists()
+    runtime.discard(kept, spark.range(3))
+    assert not place.exists()
+    rows = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    members = rows.where("id % 50 = 0").select("h")
+    marked = runtime.maybe_in(rows, F.col("h"), members, 400, "maybe")
+    got = marked.agg(F.count("*").alias("n"), F.count_if(F.col("maybe") & (F.col("id") % 50 == 0)).alias("hits"), F.count_if("maybe").alias("passed")).first()
+    assert (got["n"], got["hits"]) == (20_000, 400) and got["passed"] < 2_500
+    groups = spark.createDataFrame([(0, "a", 900), (1, "b", 3), (9, "c", 0)], "k int, v string, size int")
+    every = spark.range(1000).select(F.when(F.col("id") < 900, 0).when(F.col("id") < 903, 1).otherwise(5).alias("k"), "id")
+    joined = runtime.join_groups(every, groups, ["k"], "size", 1000)
+    assert {r["v"]: r["count"] for r in joined.groupBy("v").count().collect()} == {"a": 900, "b": 3}
